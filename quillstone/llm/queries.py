@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import neighbors, tokenize
+from quillstone.llm import leakage, neighbors, tokenize
 from quillstone.sources.tables import read_table
 
 
@@ -23,8 +23,19 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenize.encode_corpus(read_table(spark, root, "documents"))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    found = leakage.leaks(read_table(spark, root, "documents"), read_table(spark, root, "questions"))
+    return found.select("doc_id", "item_id")
+
+
+def p7_clean(spark: SparkSession, root: str) -> DataFrame:
+    """The ids and sources of the documents that are left once those with leaked passages are removed."""
+    documents = read_table(spark, root, "documents").select("doc_id", "text", "source")
+    return leakage.without_leaks(documents, read_table(spark, root, "questions")).select("doc_id", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_neighbors, p6_ids)}
+    return {f.__name__: f for f in (p4_found, p4_neighbors, p6_ids, p7_found, p7_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
