@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import leakage, neighbors, tokenize
+from quillstone.llm import leakage, neighbors, secrets, tokenize
 from quillstone.sources.tables import read_table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return secrets.find_credentials(read_table(spark, root, "chunks")).select("chunk_key", "line_no").distinct()
+
+
+def p1_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every chunk with its credentials replaced."""
+    return secrets.redact_credentials(read_table(spark, root, "chunks"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbors.nearest_pairs(read_table(spark, root, "nlp_chunks"))
 
@@ -35,7 +44,7 @@ def p7_clean(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_neighbors, p6_ids, p7_found, p7_clean)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_neighbors, p6_ids, p7_found, p7_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
