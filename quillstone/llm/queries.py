@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import leakage, neighbors, secrets, tokenize
+from quillstone.llm import leakage, neighbors, personal, secrets, tokenize
 from quillstone.sources.tables import read_table
 
 
@@ -43,8 +43,17 @@ def p7_clean(spark: SparkSession, root: str) -> DataFrame:
     return leakage.without_leaks(documents, read_table(spark, root, "questions")).select("doc_id", "source")
 
 
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return personal.find_personal(read_table(spark, root, "documents"))
+
+
+def p8_pseudonymized(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with placeholders for its personal information."""
+    return personal.pseudonymize(read_table(spark, root, "documents"), "quillstone")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_neighbors, p6_ids, p7_found, p7_clean)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_neighbors, p6_ids, p7_found, p7_clean, p8_found, p8_pseudonymized)}
 
 
 def oracle_sql() -> dict[str, str]:
