@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import leakage, neighbors, personal, secrets, tokenize
+from quillstone.llm import docpairs, leakage, neighbors, personal, secrets, tokenize
 from quillstone.sources.tables import read_table
 
 
@@ -19,6 +19,15 @@ def p1_redacted(spark: SparkSession, root: str) -> DataFrame:
     return secrets.redact_credentials(read_table(spark, root, "chunks"))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return docpairs.documented(read_table(spark, root, "files")).select("file_id", "def_line")
+
+
+def p2_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Code and documentation of every documented function."""
+    return docpairs.pairs(read_table(spark, root, "files"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbors.nearest_pairs(read_table(spark, root, "nlp_chunks"))
 
@@ -53,7 +62,7 @@ def p8_pseudonymized(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_neighbors, p6_ids, p7_found, p7_clean, p8_found, p8_pseudonymized)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pairs, p4_found, p4_neighbors, p6_ids, p7_found, p7_clean, p8_found, p8_pseudonymized)}
 
 
 def oracle_sql() -> dict[str, str]:
