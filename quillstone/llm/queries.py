@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import docpairs, leakage, neighbors, personal, secrets, tokenize
+from quillstone.llm import docpairs, leakage, neighbors, personal, prose, secrets, tokenize
 from quillstone.sources.tables import read_table
 
 
@@ -28,6 +28,15 @@ def p2_pairs(spark: SparkSession, root: str) -> DataFrame:
     return docpairs.pairs(read_table(spark, root, "files"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return prose.languages(read_table(spark, root, "nlp_chunks"), read_table(spark, root, "files"))
+
+
+def p3_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The share of each language in the prose of every code or script file."""
+    return prose.shares(read_table(spark, root, "nlp_chunks"), read_table(spark, root, "files"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbors.nearest_pairs(read_table(spark, root, "nlp_chunks"))
 
@@ -62,7 +71,7 @@ def p8_pseudonymized(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pairs, p4_found, p4_neighbors, p6_ids, p7_found, p7_clean, p8_found, p8_pseudonymized)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pairs, p3_found, p3_shares, p4_found, p4_neighbors, p6_ids, p7_found, p7_clean, p8_found, p8_pseudonymized)}
 
 
 def oracle_sql() -> dict[str, str]:
