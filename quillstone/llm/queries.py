@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import docpairs, leakage, neighbors, personal, prose, secrets, tokenize
+from quillstone.llm import docpairs, leakage, neighbors, origin, personal, prose, secrets, tokenize
 from quillstone.sources.tables import read_table
 
 
@@ -46,6 +46,15 @@ def p4_neighbors(spark: SparkSession, root: str) -> DataFrame:
     return neighbors.nearest(read_table(spark, root, "nlp_chunks"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return origin.not_hand_written(read_table(spark, root, "files"))
+
+
+def p5_scores(spark: SparkSession, root: str) -> DataFrame:
+    """What tells about the origin of every code or script file."""
+    return origin.scored(read_table(spark, root, "files"))
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenize.encode_corpus(read_table(spark, root, "documents"))
 
@@ -71,7 +80,7 @@ def p8_pseudonymized(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pairs, p3_found, p3_shares, p4_found, p4_neighbors, p6_ids, p7_found, p7_clean, p8_found, p8_pseudonymized)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pairs, p3_found, p3_shares, p4_found, p4_neighbors, p5_found, p5_scores, p6_ids, p7_found, p7_clean, p8_found, p8_pseudonymized)}
 
 
 def oracle_sql() -> dict[str, str]:
