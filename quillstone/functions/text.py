@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstone.functions.arrow import arrow
 from quillstone.functions.rules import COMMENTS, DOC_CHUNKS, LANGUAGE_NAMES
 
 #: White space other than line feeds, as a regular-expression class that reads alike in every engine.
@@ -32,7 +33,7 @@ def without_controls(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, ANSI, ""), CONTROLS, "")
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
@@ -48,7 +49,7 @@ def folded(c: Column) -> Column:
     return F.replace(F.translate(composed(c), "".join(single), "".join(single.values())), F.lit("…"), F.lit("..."))
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def _dedented(texts: pd.Series) -> pd.Series:
     return texts.map(textwrap.dedent, na_action="ignore")
 

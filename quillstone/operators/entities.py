@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.arrow import arrow
 from quillstone.functions.rules import ENTITY_RULES
 
 ENTITY = "array<struct<text:string,label:string,start:int,end:int,score:double>>"
@@ -26,12 +27,16 @@ def rule_texts(text: Column, pattern: str, groups: int) -> Column:
     return F.filter(F.transform(found, lambda x: F.trim(F.translate(x, "\n\r\t", "   "))), lambda x: F.length(x) >= 2)
 
 
+def _placed(texts: Column, rule: int, label: str) -> Column:
+    return F.transform(texts, lambda x, i: F.struct(F.lit(rule).alias("rule"), i.alias("pos"), F.lit(label).alias("label"), x.alias("text")))
+
+
 def entity_texts(text: Column) -> Column:
     """array<struct<label, pos, text>> of all rules in their order, repeated ones included; null for null."""
     parts = []
     for k, (label, pattern, groups) in enumerate(ENTITY_RULES):
         texts = rule_texts(text, pattern, groups)
-        parts.append(F.transform(texts, lambda x, i, label=label, k=k: F.struct(F.lit(k).alias("rule"), i.alias("pos"), F.lit(label).alias("label"), x.alias("text"))))
+        parts.append(_placed(texts, k, label))
     return F.concat(*parts)
 
 
@@ -50,7 +55,7 @@ def chunk_entities(df: DataFrame, key: str, text: Column) -> DataFrame:
 _COMPILED = [(label, re.compile(re.sub(r"^\(\?i\)", "", p), re.I if p.startswith("(?i)") else 0)) for label, p, _ in ENTITY_RULES]
 
 
-@F.pandas_udf(ENTITY)
+@arrow(ENTITY)
 def entities_with_places(texts: pd.Series) -> pd.Series:
     """Entities with the span of the whole match, in code points; the first of equal texts and labels is kept."""
 

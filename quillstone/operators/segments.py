@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstone.functions.arrow import arrow
 from quillstone.functions.rules import CLASS_FORM, CODE_CHUNKS, DATA_CHUNKS, DOC_CHUNKS, FUNCTION_FORM, HEADING_FORM
 
 SEGMENTS = "array<struct<text:string,start_char:int,end_char:int,segment_id:string>>"
@@ -85,7 +86,7 @@ def spans(text: str, kind: str) -> list[tuple[int, int]]:
     return _windows(text)
 
 
-@F.pandas_udf(SEGMENTS)
+@arrow(SEGMENTS)
 def segments(texts: pd.Series, kinds: pd.Series, ids: pd.Series) -> pd.Series:
     """The segments of each text with their places; blank ones are left out, but their numbers stay. None for null."""
 
