@@ -22,9 +22,14 @@ def tag_pattern(tag: str) -> str:
 
 def tags(text: Column, least: int = 1) -> Column:
     """The sorted topic tags of which at least so many keywords occur; none for null."""
-    marks = []
+    low, marks = F.lower(text), []
     for tag in sorted(TAGS):
-        hit = text.rlike(tag_pattern(tag)) if least == 1 else F.regexp_count(text, F.lit(tag_pattern(tag))) >= least
+        if least == 1:
+            hit = F.lit(False)
+            for word in TAGS[tag]:
+                hit = hit | low.contains(word)
+        else:
+            hit = F.regexp_count(text, F.lit(tag_pattern(tag))) >= least
         marks.append(F.when(hit, F.lit(tag)))
     return F.array_compact(F.array(*marks))
 

@@ -15,15 +15,10 @@ ENTITY = "array<struct<text:string,label:string,start:int,end:int,score:double>>
 
 
 def rule_texts(text: Column, pattern: str, groups: int) -> Column:
-    """For each match in order the first group that matched, or the whole match, stripped, of two characters at least."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    found = whole
-    if groups == 1:
-        group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        found = F.zip_with(group, whole, lambda g, w: F.coalesce(F.nullif(g, F.lit("")), w))
-    elif groups:
-        for g in range(groups, 0, -1):
-            found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), found, lambda x, rest: F.coalesce(F.nullif(x, F.lit("")), rest))
+    """For each match in order the first group that matched, or the whole match if there are no groups, stripped, of two characters at least."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(min(groups, 1)))
+    for g in range(2, groups + 1):
+        found = F.zip_with(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), lambda first, x: F.coalesce(F.nullif(first, F.lit("")), x))
     return F.filter(F.transform(found, lambda x: F.trim(F.translate(x, "\n\r\t", "   "))), lambda x: F.length(x) >= 2)
 
 

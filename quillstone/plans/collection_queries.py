@@ -192,3 +192,11 @@ def pca_2d(spark, root):
 def pca_variance(spark, root):
     _, shares = vectors.principal_axes(read_table(spark, root, "embeddings"), "vec_id", "embedding")
     return spark.createDataFrame([(k, s) for k, s in enumerate(shares, 1)], "axis int, share double")
+
+
+@query(f"WITH {_LOG} SELECT project, count(*) AS n, round(coalesce(sum(reward::DECIMAL(18,2))::DOUBLE / nullif(count(reward), 0), 0.0), 6) AS mean_reward, count_if(reward > 0)::BIGINT AS praised, count_if(reward < 0)::BIGINT AS blamed FROM g GROUP BY project")
+def feedback_stream(spark, root):
+    """The figures of each project from the log as a stream."""
+    from quillstone.streaming.feedback import follow
+
+    return follow(spark, f"{root}/experiences.parquet")

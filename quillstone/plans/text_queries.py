@@ -295,3 +295,12 @@ def md_sections(spark, root):
 )
 def embed_text(spark, root):
     return chunks(spark, root).select("chunk_key", text.embedding_text(F.col("name"), F.col("docstring"), F.col("content")).alias("embed_text"))
+
+
+@query()
+def enrich_chunks(spark, root):
+    """All steps of the enrichment over all chunks."""
+    from quillstone.plans.pipeline import enrich
+
+    made = enrich(chunks(spark, root))
+    return made.select("chunk_key", "cleaned_text", "token_count", "normalized_lang", F.size("entities").alias("entities"), "segment_count", F.array_join("tags", ",").alias("tags"), "complexity_score", "embedding_dim", "detected_lang", "is_translated")
