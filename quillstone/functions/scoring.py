@@ -22,16 +22,13 @@ def tag_pattern(tag: str) -> str:
 
 def tags(text: Column, least: int = 1) -> Column:
     """The sorted topic tags of which at least so many keywords occur; none for null."""
-    low, marks = F.lower(text), []
-    for tag in sorted(TAGS):
-        if least == 1:
-            hit = F.lit(False)
-            for word in TAGS[tag]:
-                hit = hit | low.contains(word)
-        else:
-            hit = F.regexp_count(text, F.lit(tag_pattern(tag))) >= least
-        marks.append(F.when(hit, F.lit(tag)))
-    return F.array_compact(F.array(*marks))
+    if least > 1:
+        marks = [F.when(F.regexp_count(text, F.lit(tag_pattern(t))) >= least, F.lit(t)) for t in sorted(TAGS)]
+        return F.array_compact(F.array(*marks))
+    # one array of rules rather than an expression for each keyword: the generated code stays small enough to be compiled
+    rules = F.array(*[F.struct(F.lit(t).alias("tag"), F.array(*map(F.lit, TAGS[t])).alias("words")) for t in sorted(TAGS)])
+    hits = F.transform(F.array(F.lower(text)), lambda low: F.filter(rules, lambda r: F.exists(r["words"], lambda w: low.contains(w))))
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.transform(hits[0], lambda r: r["tag"]))
 
 
 def has_documentation(text: Column, docstring: Column) -> Column:
