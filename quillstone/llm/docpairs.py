@@ -54,7 +54,7 @@ DECLARATIONS = {
     "go": [r"^func\s+(?:\([^)\n]*\)\s*)?(?P<n>\w+)\s*[\[(]"],
     "rust": [r"^[ \t]*(?:pub(?:\([^)\n]*\))?\s+)?(?:default\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+(?:\s*)?)?fn\s+(?P<n>\w+)"],
     "php": [r"^[ \t]*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?\s*(?P<n>\w+)\s*\(", r"^[ \t]*\$(?P<n>\w+)\s*=\s*(?:static\s+)?(?:function|fn)\s*&?\s*\("],
-    "c": [rf"^(?!(?:typedef|return|else|struct\s+\w+\s*\{{|enum|#)\b)(?:[A-Za-z_][\w:<>,]*[ \t*&]+)+\s*[*&]*{_NOT}(?P<n>[A-Za-z_~][\w:~]*)\s*{_ARGS}\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?[{{;]"],
+    "c": [rf"^(?!(?:typedef|return|else|struct\s+\w+\s*\{{|enum|#)\b)(?:[A-Za-z_][\w:<>,]*(?:[ \t*&]+|[ \t]*\r?\n(?=[A-Za-z_~])))+[*&]*{_NOT}(?P<n>[A-Za-z_~][\w:~]*)\s*{_ARGS}\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?[{{;]"],
     "ruby": [r"^[ \t]*(?:(?:private|public|protected|module_function|private_class_method)\s+)?def\s+(?:self\.|\w+\.)?(?P<n>\w+[?!=]?)"],
     "shell": [r"^[ \t]*function\s+(?P<n>[\w:.\-]+)\s*(?:\(\s*\))?\s*(?:\{|\n|$)", r"^[ \t]*(?P<n>[\w:.\-]+)\s*\(\s*\)\s*(?:\{|\n|$|\()"],
     "sql": [r"(?i)^[ \t]*create\s+(?:or\s+replace\s+)?(?:definer\s*=\s*\S+\s+)?(?:temporary\s+|temp\s+)?(?:function|procedure)\s+(?:if\s+not\s+exists\s+)?(?:[\w`\[\]]+\.)*[`\[]?(?P<n>\w+)"],
