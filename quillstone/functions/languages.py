@@ -22,10 +22,10 @@ def script_language(text: Column, least: int = 20) -> Column:
     Texts below ``least`` characters, and null, count as English with certainty 1;
     texts without letters of a known script as English with 0.5.
     """
-    # a text of ASCII characters alone isn't searched for each script
-    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)
-    counts = F.array(*[F.struct(F.coalesce(F.regexp_count(other, F.lit(form)), F.lit(0)).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, form) in enumerate(sorted(SCRIPTS.items()))])
-    top = F.array_max(counts)
+    # the letters other than ASCII, taken out once: for most texts nothing is left to search
+    rest = F.array(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
+    scripts = list(enumerate(sorted(SCRIPTS.items())))
+    top = F.transform(rest, lambda r: F.array_max(F.array(*[F.struct(F.regexp_count(r, F.lit(form)).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, form) in scripts])))[0]
     conf = F.round(F.least(top["n"] / F.greatest(F.length(text), F.lit(1)) * 5, F.lit(0.95)), 3)
     short = F.coalesce(F.length(text) < least, F.lit(True))
     lang = F.when(short | (top["n"] == 0), "en").otherwise(top["lang"])

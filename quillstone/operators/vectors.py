@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.arrow import arrow
+
 #: Query vectors that travel to the tasks at once.
 BLOCK = 2048
 
@@ -29,18 +32,21 @@ def usable(c: Column) -> Column:
     return F.coalesce((F.size(c) > 0) & fine & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
-def terms(df: DataFrame, key: str, tokens: str, most: int = 256) -> DataFrame:
+def terms(df: DataFrame, tokens: str, most: int = 256) -> DataFrame:
     """(term, df, idf): the most frequent terms of a corpus, ties by name, with smoothed inverse frequencies.
 
-    Terms are words of two or more letters in lower case. All rows are counted;
-    repeated keys count as often as they come.
+    Terms are words of two or more letters in lower case. All rows are counted,
+    repeated ones as often as they come; null and empty rows count for the frequencies' base.
     """
-    words = df.select(F.col(key).alias("key"), F.explode(tokens).alias("w")).where(F.col("w").rlike("^[A-Za-z_][A-Za-z0-9_]+$")).select("key", F.lower("w").alias("term"))
-    per = words.groupBy("key", "term").agg(F.count("*").alias("tf"))
-    counts = per.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    kept = counts.orderBy(F.desc("total"), "term").limit(most)
+    # two small aggregations over terms alone rather than one over each row's terms; what is no term is dropped once it is counted
+    fit = F.col("term").rlike("^[a-z_][a-z0-9_]+$")
+    spelled = df.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    totals = spelled.groupBy(F.lower("w").alias("term")).agg(F.sum("n").alias("total")).where(fit)
+    kept = totals.orderBy(F.desc("total"), "term").limit(most)
+    holders = df.select(F.explode(F.array_distinct(F.transform(tokens, F.lower))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(fit)
     n = df.agg(F.count("*").alias("n"))
-    return kept.crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+    found = kept.join(holders, "term").crossJoin(F.broadcast(n))  # one row
+    return found.select("term", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
 
 def term_vectors(df: DataFrame, key: str, tokens: str, most: int = 256) -> DataFrame:
@@ -48,7 +54,7 @@ def term_vectors(df: DataFrame, key: str, tokens: str, most: int = 256) -> DataF
 
     The vocabulary is fitted on the whole corpus; rows without any of its terms give none.
     """
-    vocabulary = terms(df, key, tokens, most)  # at most ``most`` rows
+    vocabulary = terms(df, tokens, most)  # at most ``most`` rows
     words = df.select(F.col(key).alias("key"), F.explode(tokens).alias("w")).where(F.col("w").rlike("^[A-Za-z_][A-Za-z0-9_]+$")).select("key", F.lower("w").alias("term"))
     per = words.join(F.broadcast(vocabulary.select("term", "idf")), "term").groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
     raw = per.withColumn("w", (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf"))
@@ -56,6 +62,26 @@ def term_vectors(df: DataFrame, key: str, tokens: str, most: int = 256) -> DataF
     return raw.select(F.col("key").alias(key), "term", (F.col("w") / length).alias("weight"))
 
 
+def term_embedding(vocabulary: list[tuple[str, float]]):
+    """A function from an array of tokens to its vector over a vocabulary of (term, inverse frequency), of bounded size; an empty vector for none of its terms."""
+    place = {t: i for i, (t, _) in enumerate(vocabulary)}
+    idf = np.array([x for _, x in vocabulary])
+
+    @arrow("array<float>")
+    def embed(tokens: pd.Series) -> pd.Series:
+        def one(words: np.ndarray | None) -> np.ndarray:
+            known = [place[w] for w in (x.lower() for x in (words if words is not None else ()) if x) if w in place]
+            if not known:
+                return np.zeros(0, np.float32)
+            tf = np.bincount(known, minlength=len(idf)).astype(float)
+            w = np.where(tf > 0, np.log(np.maximum(tf, 1)) + 1, 0) * idf
+            return (w / np.sqrt((w * w).sum())).astype(np.float32)
+
+        return tokens.map(one)
+
+    return embed
+
+
 def search(collection: DataFrame, queries: DataFrame, k: int = 3, key: str = "id", vector: str = "vec", query: str = "qid", group: str | None = None, least: float | None = None) -> DataFrame:
     """(qid, id, distance, rank): for each query its k nearest rows by cosine distance, exactly, ties by the smaller id.
 

@@ -22,7 +22,7 @@ DIMENSION = 64
 )
 def id_dedup(spark, root):
     """Chunk ids made unique within a project: the n-th of equal ids gets ``_n``, and once more for ids that then meet."""
-    out = chunks(spark, root).select("chunk_key", "project", F.col("chunk_id").alias("id"))
+    out = chunks(spark, root, "project", "chunk_id").select("chunk_key", "project", F.col("chunk_id").alias("id"))
     for _ in range(2):
         out = numbered(out, ["project", "id"], "chunk_key", "k").select("chunk_key", "project", F.when(F.col("k") > 1, F.concat_ws("_", "id", F.col("k").cast("string"))).otherwise(F.col("id")).alias("id"))
     return out.select("chunk_key", "id")
@@ -30,7 +30,7 @@ def id_dedup(spark, root):
 
 @query(f"WITH {ONCE['c']} SELECT project, count(*) AS ids, sum(n)::BIGINT AS chunks FROM (SELECT project, chunk_id, count(*) AS n FROM c GROUP BY ALL HAVING count(*) > 1) GROUP BY project")
 def duplicate_ids(spark, root):
-    twice = chunks(spark, root).groupBy("project", "chunk_id").agg(F.count("*").alias("n")).where("n > 1")
+    twice = chunks(spark, root, "project", "chunk_id").groupBy("project", "chunk_id").agg(F.count("*").alias("n")).where("n > 1")
     return twice.groupBy("project").agg(F.count("*").alias("ids"), F.sum("n").alias("chunks"))
 
 
@@ -174,7 +174,7 @@ _TERMS = f"{_TERM_ROWS}, v AS (SELECT term, count(*) AS df, ln((1.0::DOUBLE + (S
 
 @query(f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM v")
 def tfidf_top_terms(spark, root):
-    return vectors.terms(nlp(spark, root), "chunk_key", "tokens").select("term", "df", F.round("idf", 6).alias("idf"))
+    return vectors.terms(nlp(spark, root), "tokens").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_TERMS}, r AS (SELECT chunk_key, term, (ln(tf::DOUBLE) + 1.0) * idf AS w FROM p JOIN v USING (term)) SELECT chunk_key, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_key)), 5) AS weight FROM r")

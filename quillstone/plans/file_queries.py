@@ -14,9 +14,9 @@ from quillstone.sources import files as source
 from quillstone.sources.tables import read_table
 
 
-def trees(spark: SparkSession, root: str) -> DataFrame:
-    """One row of each file, with its class by its path."""
-    return source.classify(latest(read_table(spark, root, "files"), ["file_id"], "ingested_at"))
+def trees(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """One row of each file with these columns, and with its class by its path."""
+    return source.classify(latest(read_table(spark, root, "files").select("file_id", "path", "ingested_at", *columns), ["file_id"], "ingested_at"))
 
 
 _NAME = "list_extract(string_split(path, '/'), -1)"
@@ -57,14 +57,14 @@ def scanned_languages(spark, root):
 @query()
 def parse_files(spark, root):
     """All chunks of all files that a scan takes in."""
-    kept = trees(spark, root).where(source.skipped(F.col("path")).isNull() & (F.col("length") <= source.MAX_BYTES))
+    kept = trees(spark, root, "length", "content").where(source.skipped(F.col("path")).isNull() & (F.col("length") <= source.MAX_BYTES))
     return parsers.parse(kept).select("file_id", "chunk_id", "chunk_type", "name", "start_line", "end_line", F.length("content").alias("chars"))
 
 
 @query()
 def parse_summary(spark, root):
     """Chunks by language and kind, most first."""
-    kept = trees(spark, root).where(source.skipped(F.col("path")).isNull())
+    kept = trees(spark, root, "content").where(source.skipped(F.col("path")).isNull())
     return parsers.parse(kept).groupBy("language", "chunk_type").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files"))
 
 
@@ -73,7 +73,7 @@ def parse_summary(spark, root):
     f" SELECT upper(regexp_extract(trim(body), '^[- \\n]*(\\S+)', 1)) AS verb, count(*) AS n, count(nullif(regexp_extract(body, {quoted(parsers.STATEMENT_NAME)}, 1), '')) AS named FROM s GROUP BY 1"
 )
 def sql_statements(spark, root):
-    c = chunks(spark, root).where("language = 'sql'")
+    c = chunks(spark, root, "content", "language").where("language = 'sql'")
     s = c.select(F.explode(F.regexp_extract_all("content", F.lit(parsers.STATEMENT), F.lit(0))).alias("body"))
     verb = F.upper(F.regexp_extract(F.trim("body"), r"^[- \n]*(\S+)", 1))
     return s.groupBy(verb.alias("verb")).agg(F.count("*").alias("n"), F.count(F.nullif(F.regexp_extract("body", parsers.STATEMENT_NAME, 1), F.lit(""))).alias("named"))
@@ -81,14 +81,14 @@ def sql_statements(spark, root):
 
 @query(f"WITH {ONCE['c']}, l AS (SELECT chunk_key, regexp_extract_all(content, '(?im)^(FROM|RUN|COPY|ADD|ENV|ARG|WORKDIR|EXPOSE|CMD|ENTRYPOINT|LABEL|VOLUME|USER|HEALTHCHECK|SHELL)\\b') AS x FROM c WHERE file_type = 'infra') SELECT upper(i) AS instruction, count(*) AS n FROM (SELECT unnest(x) AS i FROM l) GROUP BY 1")
 def dockerfile_blocks(spark, root):
-    c = chunks(spark, root).where("file_type = 'infra'")
+    c = chunks(spark, root, "content", "file_type").where("file_type = 'infra'")
     made = c.select(F.explode(parsers.dockerfile(F.col("content"))).alias("p"))
     return made.groupBy(F.col("p.name").alias("instruction")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {ONCE['c']} SELECT k AS key, count(*) AS n FROM (SELECT unnest(json_keys(content)) AS k FROM c WHERE language = 'json' AND chunk_type = 'json_key' AND json_valid(content)) GROUP BY k")
 def json_keys(spark, root):
-    c = chunks(spark, root).where("language = 'json' and chunk_type = 'json_key'")
+    c = chunks(spark, root, "content", "language", "chunk_type").where("language = 'json' and chunk_type = 'json_key'")
     made = c.select(F.explode(F.expr("json_object_keys(content)")).alias("key"))
     return made.groupBy("key").agg(F.count("*").alias("n"))
 
@@ -102,6 +102,6 @@ def event_props(spark, root):
 @query(f"WITH {ONCE['c']} SELECT chunk_key, length(content) - length(replace(content, chr(10), '')) + 1 AS line_count, regexp_replace(substring(regexp_replace(regexp_replace(list_extract(string_split(source_file, '/'), -1), '(.)\\.[^.]*$', '\\1'), '[^\\p{{L}}\\p{{N}}_]', '_', 'g'), 1, 25), '^$', '') AS stem FROM c WHERE source_file IS NOT NULL")
 def chunk_lines(spark, root):
     """Lines of each chunk, and the part of its id that comes from its file's name."""
-    c = chunks(spark, root).where("source_file is not null")
+    c = chunks(spark, root, "content", "source_file").where("source_file is not null")
     stem = F.substring(F.regexp_replace(text.stem(F.col("source_file")), rf"[^{text.WORD}]", "_"), 1, 25)
     return c.select("chunk_key", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line_count"), stem.alias("stem"))

@@ -1,7 +1,7 @@
 """The enrichment of chunks as one plan: clean, entities, segments, tags, vectors, languages; any step can be left out.
 
-Nothing is written between the steps. Only the vectors need a pass of their own,
-for the vocabulary of the whole corpus; another vector function can be given.
+The steps are one lineage. Only the vectors need a pass of their own, for the
+vocabulary of the whole corpus; the tokens are written to the shared folder for it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import languages, scoring, text
 from quillstone.operators import entities, segments, vectors
+from quillstone.plans.shared import written
 
 STEPS = ("clean", "ner", "chunk", "tag", "embed", "multilingual")
 
@@ -21,10 +22,19 @@ def _text() -> Column:
     return text.first_text(F.col("cleaned_text"), F.col("content"))
 
 
+def _fixed(df: DataFrame, name: str, made: Column) -> DataFrame:
+    """The rows with a column that is computed once, however often it is used later.
+
+    A generator of one row keeps the optimizer from putting the expression into
+    each of its uses.
+    """
+    return df.drop(name).select("*", F.explode(F.array(made)).alias(name))
+
+
 def clean(df: DataFrame) -> DataFrame:
-    df = df.withColumn("cleaned_text", text.cleaned(F.col("content"), F.col("chunk_type"), F.col("language")))
-    df = df.withColumn("tokens", text.tokens(F.col("cleaned_text"))).withColumn("normalized_lang", text.language_name(F.col("language")))
-    return df.withColumn("token_count", F.size("tokens"))
+    df = _fixed(df, "cleaned_text", text.cleaned(F.col("content"), F.col("chunk_type"), F.col("language")))
+    df = _fixed(df, "tokens", text.tokens(F.col("cleaned_text")))
+    return df.withColumn("normalized_lang", text.language_name(F.col("language"))).withColumn("token_count", F.size("tokens"))
 
 
 def ner(df: DataFrame) -> DataFrame:
@@ -50,16 +60,15 @@ def tag(df: DataFrame) -> DataFrame:
     )
 
 
-def embed(df: DataFrame, key: str, dimension: int = 256) -> DataFrame:
-    """Term vectors over the corpus's most frequent terms; an empty vector for a chunk without any of them."""
-    words = df.select(key, "tokens")
-    order = F.array_sort(F.collect_list("term"))
-    names = vectors.terms(words, key, "tokens", dimension).agg(order.alias("names"))  # at most ``dimension`` terms
-    weights = vectors.term_vectors(words, key, "tokens", dimension).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w"))
-    joined = df.join(weights, key, "left").crossJoin(F.broadcast(names))
-    filled = F.transform("names", lambda n: F.coalesce(F.try_element_at("w", n), F.lit(0.0)).cast("float"))
-    vector = F.when(F.col("w").isNotNull(), filled).otherwise(F.array().cast("array<float>"))
-    out = joined.withColumn("embedding", vector).drop("w", "names")
+def embed(df: DataFrame, dimension: int = 256) -> DataFrame:
+    """Term vectors over the corpus's most frequent terms; an empty vector for a chunk without any of them.
+
+    The vocabulary, of ``dimension`` terms at most, is fitted on all chunks in a
+    pass of its own and travels to the tasks; the vectors are made where the rows are.
+    """
+    words = written(df.select("tokens"), "tokens")
+    vocabulary = [(r.term, r.idf) for r in vectors.terms(words, "tokens", dimension).orderBy("term").collect()]
+    out = df.withColumn("embedding", vectors.term_embedding(vocabulary)(F.col("tokens")))
     return out.withColumn("embedding_dim", F.size("embedding")).withColumn("embedding_model", F.lit("tfidf"))
 
 
@@ -75,11 +84,11 @@ def multilingual(df: DataFrame, translate: Callable[[Column, Column], Column] |
     return df.withColumn("is_translated", F.col("translated_text").isNotNull())
 
 
-def enrich(chunks: DataFrame, key: str = "chunk_key", skip: tuple[str, ...] = (), translate: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def enrich(chunks: DataFrame, skip: tuple[str, ...] = (), translate: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """The chunks with the columns of all steps but the skipped ones.
 
-    Keys are taken as unique. Columns of the same names in the input are replaced;
-    a step that needs the columns of a skipped one takes what the input has.
+    Columns of the same names in the input are replaced; every row comes out, repeated ones
+    too. A step that needs the columns of a skipped one takes what the input has.
     """
     if unknown := set(skip) - set(STEPS):
         raise ValueError(f"no such step: {', '.join(sorted(unknown))}")
@@ -87,7 +96,7 @@ def enrich(chunks: DataFrame, key: str = "chunk_key", skip: tuple[str, ...] = ()
     for name, kind in (("cleaned_text", "string"), ("tokens", "array<string>"), ("token_count", "int")):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
-    steps: dict[str, Callable[[DataFrame], DataFrame]] = {"clean": clean, "ner": ner, "chunk": chunk, "tag": tag, "embed": lambda d: embed(d, key), "multilingual": lambda d: multilingual(d, translate)}
+    steps: dict[str, Callable[[DataFrame], DataFrame]] = {"clean": clean, "ner": ner, "chunk": chunk, "tag": tag, "embed": embed, "multilingual": lambda d: multilingual(d, translate)}
     for name in STEPS:
         if name not in skip:
             df = steps[name](df)

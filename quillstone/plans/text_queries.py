@@ -14,13 +14,23 @@ from quillstone.sources.tables import read_table
 B = text.BLANKS
 
 
+def nlp_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The enriched chunks with their repeated rows, which are equal: what is made of a row can be made unique afterwards, when it is smaller."""
+    return read_table(spark, root, "nlp_chunks")
+
+
+def once(df: DataFrame) -> DataFrame:
+    return df.dropDuplicates(["chunk_key"])
+
+
 def nlp(spark: SparkSession, root: str) -> DataFrame:
-    """One row of each enriched chunk."""
-    return read_table(spark, root, "nlp_chunks").dropDuplicates(["chunk_key"])
+    """One row of each enriched chunk, for queries that need few columns of it."""
+    return once(nlp_rows(spark, root))
 
 
-def chunks(spark: SparkSession, root: str) -> DataFrame:
-    return latest(read_table(spark, root, "chunks"), ["chunk_key"], "ingested_at")
+def chunks(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """The last taken in row of each chunk with these columns; no other is read."""
+    return latest(read_table(spark, root, "chunks").select("chunk_key", "ingested_at", *columns), ["chunk_key"], "ingested_at")
 
 
 def _re(column: str, form: str, by: str = "''") -> str:
@@ -63,7 +73,7 @@ def unicode_fold(spark, root):
 @query()
 def chunk_clean_text(spark, root):
     """Every chunk cleaned as its kind is, with comments removed from code."""
-    c = chunks(spark, root)
+    c = chunks(spark, root, "content", "chunk_type", "language")
     return c.select("chunk_key", text.cleaned(F.col("content"), F.col("chunk_type"), F.col("language"), comments=False).alias("cleaned"))
 
 
@@ -72,7 +82,7 @@ _LANG = "CASE ltrim(lower(language), '.') " + " ".join(f"WHEN {quoted(k)} THEN {
 
 @query(f"WITH {ONCE['c']}, l AS (SELECT CASE WHEN coalesce(language, '') = '' THEN NULL ELSE {_LANG} END AS lang FROM c) SELECT lang, count(*) AS n FROM l GROUP BY lang")
 def language_names(spark, root):
-    return chunks(spark, root).groupBy(text.language_name(F.col("language")).alias("lang")).agg(F.count("*").alias("n"))
+    return chunks(spark, root, "language").groupBy(text.language_name(F.col("language")).alias("lang")).agg(F.count("*").alias("n"))
 
 
 _TEXT = "coalesce(nullif(cleaned_text, ''), content)"
@@ -81,8 +91,7 @@ _TAGGED = f"{ONCE['n']}, t AS (SELECT chunk_key, list_filter([{_TAG_CASES}], lam
 
 
 def tagged(spark: SparkSession, root: str) -> DataFrame:
-    n = nlp(spark, root)
-    return n.select("chunk_key", scoring.tags(text.first_text(F.col("cleaned_text"), F.col("content"))).alias("tags"))
+    return once(nlp_rows(spark, root).select("chunk_key", scoring.tags(text.first_text(F.col("cleaned_text"), F.col("content"))).alias("tags")))
 
 
 @query(f"WITH {_TAGGED} SELECT chunk_key, array_to_string(tags, ',') AS tags FROM t")
@@ -122,9 +131,9 @@ _SCORED = (
 
 def scored(spark: SparkSession, root: str) -> DataFrame:
     t = text.first_text(F.col("cleaned_text"), F.col("content"))
-    n = nlp(spark, root).select("chunk_key", "file_id", "source_file", t.alias("t"))
+    n = nlp_rows(spark, root).select("chunk_key", "file_id", t.alias("t"))
     k = F.size(text.tokens(F.col("t")))
-    return n.select("chunk_key", "file_id", "source_file", k.alias("k"), scoring.complexity(F.col("t"), k).alias("score"))
+    return once(n.select("chunk_key", "file_id", scoring.complexity(F.col("t"), k).alias("score")))
 
 
 @query(f"WITH {_SCORED} SELECT chunk_key, score FROM z")
@@ -155,14 +164,15 @@ _DOC, _TEST, _TODO = (f"regexp_matches({_TEXT}, {quoted(x)})" for x in (rules.DO
 @query(f"WITH {ONCE['n']} SELECT file_type, count_if({_DOC} OR coalesce(docstring, '') <> '')::BIGINT AS documented, count_if({_TEST})::BIGINT AS tests, count_if({_TODO})::BIGINT AS todos, count(*) AS n FROM n GROUP BY file_type")
 def flags_rollup(spark, root):
     t = text.first_text(F.col("cleaned_text"), F.col("content"))
-    n = nlp(spark, root).withColumn("t", t)
-    made = n.select("file_type", scoring.has_documentation(F.col("t"), F.col("docstring")).alias("d"), scoring.has_tests(F.col("t")).alias("x"), scoring.has_todos(F.col("t")).alias("y"))
-    return made.groupBy("file_type").agg(F.count_if("d").alias("documented"), F.count_if("x").alias("tests"), F.count_if("y").alias("todos"), F.count("*").alias("n"))
+    n = nlp_rows(spark, root).withColumn("t", t)
+    made = n.select("chunk_key", "file_type", scoring.has_documentation(F.col("t"), F.col("docstring")).alias("d"), scoring.has_tests(F.col("t")).alias("x"), scoring.has_todos(F.col("t")).alias("y"))
+    return once(made).groupBy("file_type").agg(F.count_if("d").alias("documented"), F.count_if("x").alias("tests"), F.count_if("y").alias("todos"), F.count("*").alias("n"))
 
 
 @query(f"WITH {ONCE['n']} SELECT name, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all({_TEXT}, {quoted(rules.PUBLIC_FORM)}, 1))) AS name FROM n) GROUP BY name ORDER BY n DESC, name LIMIT 20")
 def api_names(spark, root):
-    names = nlp(spark, root).select(F.explode(scoring.public_names(text.first_text(F.col("cleaned_text"), F.col("content")))).alias("name"))
+    made = nlp_rows(spark, root).select("chunk_key", scoring.public_names(text.first_text(F.col("cleaned_text"), F.col("content"))).alias("names"))
+    names = once(made).select(F.explode("names").alias("name"))
     return names.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(20)
 
 
@@ -185,7 +195,8 @@ _ENTITIES = (
 
 
 def found_entities(spark: SparkSession, root: str) -> DataFrame:
-    return entities.chunk_entities(nlp(spark, root), "chunk_key", text.first_text(F.col("cleaned_text"), F.col("content")))
+    # equal entities of a chunk become one, those of its repeated rows with them
+    return entities.chunk_entities(nlp_rows(spark, root), "chunk_key", text.first_text(F.col("cleaned_text"), F.col("content")))
 
 
 @query(f"WITH {_ENTITIES} SELECT chunk_key, label, text FROM e")
@@ -210,7 +221,7 @@ def ner_label_topk(spark, root):
 def ner_places(spark, root):
     """The entities of each chunk with their places."""
     t = text.first_text(F.col("cleaned_text"), F.col("content"))
-    return nlp(spark, root).select("chunk_key", F.explode(entities.entities_with_places(t)).alias("e")).select("chunk_key", "e.*")
+    return once(nlp_rows(spark, root).select("chunk_key", entities.entities_with_places(t).alias("e"))).select("chunk_key", F.explode("e").alias("e")).select("chunk_key", "e.*")
 
 
 _COUNTS = ", ".join(f"{{'n': len(regexp_extract_all(t, {quoted(form)})), 'k': {-k}, 'lang': {quoted(lang)}}}" for k, (lang, form) in enumerate(sorted(rules.SCRIPTS.items())))
@@ -294,7 +305,7 @@ def md_sections(spark, root):
     f"WITH {ONCE['c']} SELECT chunk_key, substring(concat_ws(' ' || chr(10), nullif(name, ''), substring(nullif(docstring, ''), 1, 300), nullif(content, '')), 1, 2000) AS embed_text FROM c"
 )
 def embed_text(spark, root):
-    return chunks(spark, root).select("chunk_key", text.embedding_text(F.col("name"), F.col("docstring"), F.col("content")).alias("embed_text"))
+    return chunks(spark, root, "name", "docstring", "content").select("chunk_key", text.embedding_text(F.col("name"), F.col("docstring"), F.col("content")).alias("embed_text"))
 
 
 @query()
@@ -302,5 +313,5 @@ def enrich_chunks(spark, root):
     """All steps of the enrichment over all chunks."""
     from quillstone.plans.pipeline import enrich
 
-    made = enrich(chunks(spark, root))
+    made = enrich(chunks(spark, root, "chunk_id", "content", "chunk_type", "language", "docstring"))
     return made.select("chunk_key", "cleaned_text", "token_count", "normalized_lang", F.size("entities").alias("entities"), "segment_count", F.array_join("tags", ",").alias("tags"), "complexity_score", "embedding_dim", "detected_lang", "is_translated")

@@ -147,10 +147,14 @@ def test_network(spark):
 
 def test_terms_and_axes(spark):
     df = spark.createDataFrame([(1, ["Ab", "ab", "cd", "x"]), (2, ["cd"]), (3, []), (4, None)], "k long, t array<string>")
-    got = {r.term: (r.df, round(r.idf, 6)) for r in vectors.terms(df, "k", "t").collect()}
+    got = {r.term: (r.df, round(r.idf, 6)) for r in vectors.terms(df, "t").collect()}
     assert got == {"ab": (1, round(float(np.log(5 / 2) + 1), 6)), "cd": (2, round(float(np.log(5 / 3) + 1), 6))}
     lengths = vectors.term_vectors(df, "k", "t").groupBy("k").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert {r.k: round(r.s, 9) for r in lengths} == {1: 1.0, 2: 1.0}
+    vocabulary = [(r.term, r.idf) for r in vectors.terms(df, "t").orderBy("term").collect()]
+    made = {r.k: r.v for r in df.select("k", vectors.term_embedding(vocabulary)(F.col("t")).alias("v")).collect()}
+    known = {(r.k, r.term): r.weight for r in vectors.term_vectors(df, "k", "t").collect()}
+    assert np.allclose(made[1], [known[1, "ab"], known[1, "cd"]]) and made[3] == made[4] == []
     x = np.random.default_rng(0).normal(size=(50, 3)) * [5, 2, 0.1]
     placed, share = vectors.principal_axes(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k long, v array<double>"), "k", "v")
     assert placed.columns == ["k", "x", "y"] and share[0] > share[1] > 0 and placed.count() == 50
