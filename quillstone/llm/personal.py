@@ -40,7 +40,7 @@ _DOT = r"(?:\s?[\[({<]\s?(?:dot|DOT|\.|punkt|punto|point|ponto)\s?[\])}>]\s?|\s(
 SPELLED = re.compile(rf"(?<![\w.+@\-])([^\W_][\w+\-]*(?:{_DOT}[\w+\-]+)*){_AT}((?:[^\W_][\w\-]*{_DOT})+[A-Za-z]{{2,18}})(?![\w(]|\.\w)")
 SPOKEN = re.compile(r"(?i)(?<![\w.+@\-])([^\W_][\w+\-]*(?:(?:\sdot\s|\.)[\w+\-]+)*)\s(?:at|ät|arroba|chez)\s((?:[^\W_][\w\-]*(?:\sdot\s|\.))*[^\W_][\w\-]*\sdot\s[A-Za-z]{2,18})(?!\w)")
 #: Each with what a line must hold in lower case.
-SPELT = [(("at]", "at)", "at}", "at>", "a)", "a]", " at ", "_at_", "-at-", "arroba", "arobase", "ät", "@)", "@]"), SPELLED), ((" dot ",), SPOKEN)]
+SPELT = [(("at]", "at)", "at}", "at>", "a)", "a]", "a}", "a>", "_at_", "-at", "at-", "arroba", "arobase", "ät", "@)", "@]", "@}", "@>", "at ]", "at )", "a ]", "a )"), SPELLED), ((" dot ",), SPOKEN)]
 # --- phone ---------------------------------------------------------------------------------------------------
 _S = "[ \u00a0\u2009\u202f.\\-]"
 _EXT = r"(?:,?[ \u00a0](?:ext\.?|x|Durchwahl|poste|extensión|ramal|доб\.|内线|内線)[ \u00a0]?\d{1,6})?"
@@ -94,6 +94,34 @@ ADDRESSES = [
     re.compile(r"(?:〒\s?\d{3}-\d{4}\s?)?[\u4e00-\u9fff\u3040-\u30ffヶ]{1,12}?(?:丁目|町|区|市|村|番町)[\u4e00-\u9fff\u3040-\u30ff]{0,8}\s?\d{1,4}(?:丁目\d{1,3}(?:番(?:地)?\d{0,3}号?|[\-－]\d{1,3})*|[\-－−]\d{1,4}(?:[\-－−]\d{1,4})?|番地?(?:\d{1,3}号)?)|〒\s?\d{3}-\d{4}"),
     re.compile(r"(?:मकान|फ्लैट|प्लॉट|गली)\s?(?:नंबर|संख्या|नं\.?|सं\.?)\s?\d{1,5}[^\n।]{0,40}"),
 ]
+_WAY_WORDS = ("street", "st", "road", "rd", "ave", "lane", "ln", "boulevard", "blvd", "court", "ct", "ter", "way", "drive", "dr", "place", "pl", "square", "sq", "close", "cres", "parkway", "pkwy", "row", "walk", "mews", "highway", "hwy", "trail", "circle", "grove", "gardens", "quay")
+_ENGLISH_WAY = re.compile(r"\b(?:" + "|".join(w.capitalize() for w in _WAY_WORDS) + r")")
+#: What a line must hold, in lower case, for each of ADDRESSES; for None the test of ``_has`` by its place.
+_ADDRESS_MARKS = [
+    None,
+    ("flat", "apt", "apartment", "unit", "suite", "room"),
+    ("box", "postfach", "postale", "b.p.", "apartado", "caixa", "а/я", "ящик", "私書箱", "信箱"),
+    ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig", "markt", "graben", "hof", "berg", "chaussee", "stieg", "pfad"),
+    None,
+    ("rue", "avenue", "av.", "boulevard", "bd", "place", "impasse", "chemin", "quai", "allée", "route", "cours", "passage", "square", "sentier", "faubourg", "villa"),
+    ("calle", "c/", "avda", "avenida", "plaza", "paseo", "camino", "carrer", "ronda", "glorieta", "rua", "travessa", "praça", "largo", "alameda", "estrada", "rodovia", "via", "piazza", "corso", "viale"),
+    ("ул", "пр", "пер", "пл", "наб", "ш", "бульвар", "б-р"),
+    ("路", "街", "大道", "巷", "弄", "胡同"),
+    ("丁目", "町", "区", "市", "村", "番", "〒"),
+    ("मकान", "फ्लैट", "प्लॉट", "गली"),
+]
+_CODE_BEFORE_CITY = re.compile(r"\d ?[a-z]?, ?\d{5} ")
+_ADDRESS_WORDS = ("address", "adresse", "anschrift", "direcci", "domicilio", "endere", "ship_to", "lives at", "wohnhaft", "адрес", "地址", "住所", "पता")
+
+
+def _may_hold(k: int, line: str, low: str) -> bool:
+    """Whether a line can hold an address of the k-th form at all; a cheap test before the pattern."""
+    marks = _ADDRESS_MARKS[k]
+    if marks is not None:
+        return any(m in low for m in marks)
+    return bool(_ENGLISH_WAY.search(line) if k == 0 else _CODE_BEFORE_CITY.search(line))
+
+
 ADDRESS_CUE = re.compile(
     rf"(?i:(?<!\w)(?:(?:home|mailing|postal|street|shipping|billing|delivery|invoice)? ?address|adresse|anschrift|direcci[oó]n|domicilio|endere[çc]o|ship_to|lives at|wohnhaft|адрес|地址|住所|पता)\s?[:=]\s?)(?P<v>\d{{1,5}}\w? {_CAP}(?: {_CAP}){{0,3}}(?:, {_CAP})+)"
 )
@@ -145,7 +173,11 @@ NOT_NAMES = {
     "version", "dependabot", "renovate", "github", "gitlab", "jenkins", "admin", "root", "system", "user", "assistant", "both", "most", "after", "before", "please", "see", "make", "do", "there", "instead", "merged", "callers", "returns",
 }
 ORGANISATION = re.compile(r"(?i)\b(?:bot|team|gmbh|inc|ltd|llc|group|service|server|scheduler|pipeline|daemon|committee|department|crew|squad|desk|staff|guild|robot|agent|system|platform|release|ci)\b")
-NUMERIC = re.compile(r"\d[^\d\n]{0,3}\d")
+#: Five digits close to each other, the fewest that an identity number or a phone number has.
+NUMERIC = re.compile(r"\d(?:[^\d\n]{0,6}\d){4}")
+_DIGIT = re.compile(r"\d")
+_CAPITALS = re.compile(rf"[{_UP}{_RU}][^\W\d_]+")
+_TITLES = ("Mr", "Ms", "Mx", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Sr", "Doña", "г-")
 LETTERS = re.compile(r"[^\W\d_]")
 
 
@@ -200,7 +232,7 @@ def line_mentions(line: str) -> Iterator[Mention]:
             yield Mention(*m.span(), "email")
     low = line.lower()
     for marks, pattern in SPELT:
-        if any(x in low for x in marks):
+        if any(x in low for x in marks) or pattern is SPELLED and "AT" in line:
             for m in pattern.finditer(line):
                 if free(*m.span()) and not m.group().isupper():
                     taken.append(m.span())
@@ -225,8 +257,10 @@ def line_mentions(line: str) -> Iterator[Mention]:
                 if free(a, b) and 7 <= _digits(m.group()) <= 22 and not NOT_PHONE.search(line[:a]):
                     taken.append((a, b))
                     yield Mention(a, b, "phone")
-    if re.search(r"\d", line):
-        for pattern in (*ADDRESSES, ADDRESS_CUE):
+    if _DIGIT.search(line):
+        for k, pattern in enumerate((*ADDRESSES, ADDRESS_CUE)):
+            if not (_may_hold(k, line, low) if k < len(ADDRESSES) else any(w in low for w in _ADDRESS_WORDS)):
+                continue
             for m in pattern.finditer(line):
                 if free(*m.span()):
                     taken.append(m.span())
@@ -236,6 +270,8 @@ def line_mentions(line: str) -> Iterator[Mention]:
             if _named(m["v"]) and free(*m.span("v")):
                 taken.append(m.span("v"))
                 yield Mention(*m.span("v"), "name")
+    if GIVEN.isdisjoint(_CAPITALS.findall(line)) and not any(t in line for t in _TITLES):
+        return
     for m in BARE.finditer(line):
         given = m["g"] or m["h"]
         if (given is None or given in GIVEN) and free(*m.span("v")) and not ORGANISATION.search(m["v"]):
