@@ -181,6 +181,17 @@ _TITLES = ("Mr", "Ms", "Mx", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Sr",
 LETTERS = re.compile(r"[^\W\d_]")
 
 
+#: Words of which a line in ASCII holds one if a context of a name or a form of an address can stand in it.
+_TELLING = frozenset(
+    "ask ansprechperson ansprechpartner ansprechpartnerin kontakt verantwortlich voir contacter demander adresser preguntar consultar hablar perguntar falar contactar thank thanks merci gracias obrigado danke"
+    " reported written reviewed approved assigned author authors signed authored acked tested owner maintainer reviewer assignee contact customer patient employee name fullname firstname lastname created updated nutzer nombre nom"
+    " team equipe equipo call leave vacation holiday notes protokoll minutes presents present attendees teilnehmer dear hi hello hallo bonjour hola liebe lieber geehrte geehrter cher estimado estimada".split()
+)
+_PLACES = frozenset(w for marks in _ADDRESS_MARKS[:7] if marks for w in marks if w.isalpha() and w.isascii()) | frozenset(_WAY_WORDS) | frozenset("terrace crescent avenue av bd c avda o po address adresse anschrift domicilio ship lives wohnhaft bp".split())
+_ENDINGS = ("strasse", "str", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig", "markt", "graben", "hof", "berg", "chaussee", "stieg", "pfad", "direccion")
+_PLAIN_WORD = re.compile(r"[a-z]+")
+
+
 def _named(v: str) -> bool:
     """Whether a text taken by its context is a person's name."""
     v = v.strip()
@@ -257,7 +268,9 @@ def line_mentions(line: str) -> Iterator[Mention]:
                 if free(a, b) and 7 <= _digits(m.group()) <= 22 and not NOT_PHONE.search(line[:a]):
                     taken.append((a, b))
                     yield Mention(a, b, "phone")
-    if _DIGIT.search(line):
+    ascii_words = _PLAIN_WORD.findall(low) if line.isascii() else None
+    place = ascii_words is None or not _PLACES.isdisjoint(ascii_words) or any(w.endswith(_ENDINGS) for w in ascii_words) or _CODE_BEFORE_CITY.search(line)
+    if place and _DIGIT.search(line):
         for k, pattern in enumerate((*ADDRESSES, ADDRESS_CUE)):
             if not (_may_hold(k, line, low) if k < len(ADDRESSES) else any(w in low for w in _ADDRESS_WORDS)):
                 continue
@@ -265,7 +278,8 @@ def line_mentions(line: str) -> Iterator[Mention]:
                 if free(*m.span()):
                     taken.append(m.span())
                     yield Mention(*m.span(), "address")
-    for marks, pattern in NAME_CUES:
+    context = ascii_words is None or "[" in line or not _TELLING.isdisjoint(ascii_words)
+    for marks, pattern in NAME_CUES if context else ():
         for m in pattern.finditer(line) if any(x in low for x in marks) else ():
             if _named(m["v"]) and free(*m.span("v")):
                 taken.append(m.span("v"))
