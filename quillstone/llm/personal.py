@@ -69,7 +69,7 @@ ID_CUE = re.compile(
     r"|aadhaar|pan card|carte d'identit[ée]|cédula|c[ée]dula de identidad|bilhete de identidade|cart[ãa]o de cidad[ãa]o|паспорта?|снилс|инн|身份证号?码?|护照号?码?|マイナンバー|個人番号|旅券番号|パスポート番号|आधार(?: संख्या)?|पासपोर्ट)"
     r"[\s:#№=.\-]{1,4}(?:(?:no|nr|number|is|ist|est|es|é|номер|серия)\.?[\s:]{1,2})?(?P<v>(?=(?:[^\n]{0,3}[\dA-Z]))[A-Z0-9][A-Z0-9 \u00a0./\-]{4,24}[A-Z0-9])(?![a-z0-9A-Z])"
 )
-SSN = re.compile(r"(?<![\w.\-/+#])(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w\-/]|\.\d)")
+SSN = re.compile(r"(?<![\w.\-/+#])\d{3}-\d{2}-\d{4}(?![\w\-/]|\.\d)")
 CPF = re.compile(r"(?<![\w.\-/+])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w\-])")
 DNI = re.compile(r"(?<![\w.\-/+])\d{8}-?[A-HJ-NP-TV-Z](?![\w\-])")
 NINO = re.compile(r"(?<![\w.\-/+])[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w\-])")
