@@ -14,6 +14,25 @@ from quillstone.functions.rules import ENTITY_RULES
 ENTITY = "array<struct<text:string,label:string,start:int,end:int,score:double>>"
 
 
+#: What a text must hold for a rule to match at all; searching for it is much cheaper than the rule.
+NEEDED = {
+    "FUNC": ("def", "function", "=(", "= (", "=  (", "async"), "CLASS": ("class",), "URL": ("http",), "EMAIL": ("@",), "TODO": ("TODO", "FIXME", "HACK", "NOQA", "NOTE", "XXX"), "FILE_PATH": ("/", "\\"), "DECORATOR": ("@",),
+    "ENV_VAR": ("$", "os.environ["), "CSS_SELECTOR": ("{",), "GQL_TYPE": ("type", "interface", "enum", "input"), "LIB": ("import", "from", "require", "use"), "VERSION": (".",),
+}
+
+
+def held(text: Column, label: str) -> Column:
+    """The text if it can hold an entity of this label, else null."""
+    if label not in NEEDED:
+        return text
+    can = F.lit(False)
+    for mark in NEEDED[label]:
+        can = can | text.contains(mark)
+    if label == "FUNC":
+        can = can | text.rlike(r"=\s+\(")
+    return F.when(can, text)
+
+
 def rule_texts(text: Column, pattern: str, groups: int) -> Column:
     """For each match in order the first group that matched, or the whole match if there are no groups, stripped, of two characters at least."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(min(groups, 1)))
@@ -27,10 +46,10 @@ def _placed(texts: Column, rule: int, label: str) -> Column:
 
 
 def entity_texts(text: Column) -> Column:
-    """array<struct<label, pos, text>> of all rules in their order, repeated ones included; null for null."""
+    """array<struct<label, pos, text>> of all rules in their order, repeated ones included; none for null."""
     parts = []
     for k, (label, pattern, groups) in enumerate(ENTITY_RULES):
-        texts = rule_texts(text, pattern, groups)
+        texts = F.coalesce(rule_texts(held(text, label), pattern, groups), F.array().cast("array<string>"))
         parts.append(_placed(texts, k, label))
     return F.concat(*parts)
 
