@@ -11,19 +11,30 @@ the exact cosine ranks it.
 
 The shuffle carries a key, an id and a 32-byte sketch a row and curve, never the
 vectors; these are joined only to the pairs that are left.
+
+That finds near vectors. Far "tenth nearest" ones lie close on no curve, so
+``all_nearest``, which gives every vector its neighbours whatever their
+similarity, takes the order of one curve only to cut the vectors into blocks and
+compares every block with every other. Nothing is missed; the work grows with
+the square of a group.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.plans.shared import shared_folder
+
 CURVES = 10
 PROJECTED = 10
 KEY_BITS = 60
@@ -31,6 +42,10 @@ WINDOW = 64
 SKETCH_WORDS = 4
 #: Standard deviations that a sketch distance may exceed its mean at the wanted similarity.
 SKETCH_SLACK = 4.5
+#: Vectors of a block that is compared as a whole.
+BLOCK = 2048
+#: Similarity that single precision may be off.
+ROUNDING = 4e-6
 
 
 def hilbert_keys(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -212,6 +227,119 @@ def nearest(
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def blocks(ordered: DataFrame) -> DataFrame:
+    """(block, grp, length, ids, units): runs of at most ``BLOCK`` rows of a group and length, with unit vectors in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def packed(kind: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+            ids, x = (np.concatenate(c) for c in zip(*held.pop(kind)))
+            for a in range(0, len(ids), BLOCK):
+                part = ids[a : a + BLOCK]
+                # a key stands in one block only, so that its first one names the block
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(part[0])]), pa.array([kind[0]]), pa.array([kind[1]], pa.int32()), pa.array([part.tobytes()]), pa.array([x[a : a + BLOCK].tobytes()])],
+                    ["block", "grp", "length", "ids", "units"],
+                )
+
+        for batch in batches:
+            ids, grp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for rows, x in usable(batch.column(2)):
+                for g in np.unique(grp[rows]):
+                    kind, on = (int(g), x.shape[1]), grp[rows] == g
+                    held.setdefault(kind, []).append((ids[rows[on]], x[on]))
+                    if sum(len(i) for i, _ in held[kind]) >= BLOCK:
+                        yield from packed(kind)
+        for kind in list(held):
+            yield from packed(kind)
+
+    return ordered.mapInArrow(run, "block long, grp long, length int, ids binary, units binary")
+
+
+class Best:
+    """The ``k`` most similar rows of all blocks for each row of one block, exactly."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k, self.single = ids, x, k, x.astype(np.float32)
+        self.bound = np.full(len(ids), -np.inf, np.float32)
+        self.at, self.dst, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def meet(self, theirs: np.ndarray, y: np.ndarray, single: np.ndarray) -> None:
+        k, x = self.k, self.x
+        s = self.single @ single.T
+        if theirs[0] == self.ids[0]:
+            np.fill_diagonal(s, -np.inf)
+        if len(theirs) >= k and (fresh := np.isneginf(self.bound)).any():
+            self.bound[fresh] = np.partition(s[fresh], len(theirs) - k, axis=1)[:, len(theirs) - k] - ROUNDING
+        close = s >= self.bound[:, None]
+        if theirs[0] == self.ids[0]:
+            np.fill_diagonal(close, False)
+        many = np.count_nonzero(close, axis=1)
+        i, j = np.nonzero(close & (many <= 4 * k)[:, None])
+        found = [(i, theirs[j], (x[i] * y[j]).sum(axis=1))]
+        for r in np.nonzero(many > 4 * k)[0]:  # a run of equal vectors: only the k best are kept, row by row
+            j = np.nonzero(close[r])[0]
+            exact = (x[r] * y[j]).sum(axis=1)
+            top = np.lexsort((theirs[j], -exact))[:k]
+            found.append((np.full(len(top), r), theirs[j[top]], exact[top]))
+        at, dst, sim = (np.concatenate(c) for c in zip((self.at, self.dst, self.sim), *found))
+        order = np.lexsort((dst, -sim, at))
+        at, dst, sim = at[order], dst[order], sim[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at, "left")
+        self.at, self.dst, self.sim = (c[place < k] for c in (at, dst, sim))
+        last = place == k - 1
+        self.bound[at[last]] = sim[last] - ROUNDING
+
+    def rows(self) -> pa.RecordBatch:
+        rank = np.arange(len(self.at)) - np.searchsorted(self.at, self.at, "left") + 1
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.at]), pa.array(self.dst), pa.array(self.sim), pa.array(rank, pa.int32())], ["src", "dst", "similarity", "rank"])
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray]]:
+    """Group and length, ids and unit vectors of each block."""
+    for grp, length, ids, units in zip(*(batch.column(c) for c in ("grp", "length", "ids", "units"))):
+        yield (grp.as_py(), length.as_py()), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(units.as_buffer(), np.float64).reshape(-1, length.as_py())
+
+
+def all_nearest(df: DataFrame, k: int = 10, key: str = "chunk_key", vector: str = "embedding", group: str = "embedding_model") -> DataFrame:
+    """(src, dst, similarity, rank): for each usable vector its ``k`` most similar others, however far they are.
+
+    What is usable and compared, and how equal similarities rank, is as for
+    ``nearest``. The search is exact: a vector has fewer than ``k`` rows only if
+    its group and length hold no more others. Each task reads all blocks from the
+    shared folder, one after the other.
+    """
+    vectors = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(group)).alias("grp"), F.col(vector).cast("array<double>").alias("vec"), F.col(group).alias("model"))
+    once = vectors.where("id is not null and model is not null and size(vec) > 0").drop("model").dropDuplicates(["id"])
+    # the order of a curve puts like vectors into a block, so that the bounds are high from its first comparison on
+    place = curve_rows(once, 1, PROJECTED).select("id", "grp", "place")
+    ordered = once.join(place, ["id", "grp"]).repartitionByRange("grp", "place", "id").sortWithinPartitions("grp", "place", "id")
+    folder = f"{shared_folder(df.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    blocks(ordered.select("id", "grp", "vec")).write.parquet(folder)
+    cut = df.sparkSession.read.schema("block long, grp long, length int, ids binary, units binary").parquet(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = FileSystem.from_uri(folder)
+        files = sorted(f.path for f in system.get_file_info(FileSelector(path)) if f.path.endswith(".parquet"))
+        for batch in batches:
+            mine = [(kind, Best(ids, x, k)) for kind, ids, x in unpacked(batch)]
+            kinds = {kind for kind, _ in mine}
+            for file in files:
+                with system.open_input_file(file) as opened:
+                    for part in ParquetFile(opened).iter_batches(4):
+                        for kind, theirs, y in unpacked(part):
+                            if kind in kinds:
+                                single = y.astype(np.float32)
+                                for own, best in mine:
+                                    if own == kind:
+                                        best.meet(theirs, y, single)
+            for _, best in mine:
+                yield best.rows()
+
+    return cut.repartition("block").mapInArrow(run, "src long, dst long, similarity double, rank int")
+
+
 def nearest_pairs(df: DataFrame, **options) -> DataFrame:
     """(chunk_key_a, chunk_key_b): the distinct pairs of ``nearest``, the smaller key first."""
     found = nearest(df, **options)

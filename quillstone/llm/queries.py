@@ -42,8 +42,8 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_neighbors(spark: SparkSession, root: str) -> DataFrame:
-    """The neighbours with their cosine similarity and rank."""
-    return neighbors.nearest(read_table(spark, root, "nlp_chunks"))
+    """The ten neighbours of every usable vector with their cosine similarity and rank."""
+    return neighbors.all_nearest(read_table(spark, root, "nlp_chunks"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

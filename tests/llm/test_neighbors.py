@@ -63,3 +63,25 @@ def test_short_and_long_vectors(spark):
     got = {tuple(r) for r in neighbors.nearest_pairs(table(spark, rows), k=1).collect()}
     assert {(i, i + 1) for i in range(1, 38, 2)} <= got | {(i, i + 1) for i in range(40)} and len(got) >= 20
     assert neighbors.nearest(table(spark, rows), k=3).where(F.col("similarity") < 0.95).count() == 0
+
+
+def test_all_nearest_is_brute_force(spark, monkeypatch):
+    """Unstructured vectors, runs of equal ones, two models and unusable rows: ten neighbours of each, whatever their similarity."""
+    monkeypatch.setattr(neighbors, "BLOCK", 64)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 24)).astype(np.float32).astype(float)
+    x[500:560] = x[3]
+    model = ["a" if i < 590 else "b" for i in range(600)]
+    rows = [(i, [float(v) for v in x[i]], model[i]) for i in range(600)] + [(7, [float(v) for v in x[7]], "a"), (900, [0.0] * 24, "a"), (901, None, "a"), (902, [1.0] * 8, "a"), (903, [1.0] * 24, None)]
+    got = {}
+    for r in neighbors.all_nearest(table(spark, rows).repartition(5)).collect():
+        got.setdefault(r.src, {})[r["rank"]] = (r.dst, r.similarity)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    assert set(got) == set(range(600))
+    for i in range(600):
+        mine = [j for j in range(600) if model[j] == model[i] and j != i]
+        want = sorted(mine, key=lambda j: (-round(s[i, j], 9), j))[:10]
+        assert [got[i][n][0] for n in sorted(got[i])] == want
+        assert all(abs(got[i][n + 1][1] - s[i, j]) < 1e-9 for n, j in enumerate(want))
