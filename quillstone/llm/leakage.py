@@ -25,8 +25,6 @@ from quillstone.llm.folding import words
 
 #: Words of a verbatim match that makes two texts worth aligning.
 SEED = 5
-#: A run of SEED words that stands in more items than this belongs to no item and starts no alignment.
-SHARED = 4
 LEAST_WORDS = 20
 #: Changed words for each word of a stretch.
 CHANGED = 0.15
@@ -61,25 +59,24 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None, str | None]]):
         cache: dict[str, str] = {}
         self.ids: dict[str, int] = {}
-        self.parts: list[tuple[int, list[int], int]] = []  # item, words, words that a case needs
+        texts: dict[tuple[int, ...], set[int]] = {}  # equal texts are searched once for all their items
+        whole: dict[tuple[int, ...], set[int]] = {}  # questions that are too short for a seed
         for item, question, answer in rows:
             for n, text in enumerate((question, answer)):
                 ws = words(text or "", cache)
                 if not ws or (n == 1 and len(ws) < LEAST_WORDS):
                     continue
-                self.parts.append((item, [self.ids.setdefault(w, len(self.ids) + 2) for w in ws], min(len(ws), LEAST_WORDS)))
+                (texts if len(ws) >= SEED else whole).setdefault(tuple(self.ids.setdefault(w, len(self.ids) + 2) for w in ws), set()).add(item)
+        self.parts = [(sorted(own), list(ws), min(len(ws), LEAST_WORDS)) for ws, own in texts.items()]  # items, words, words that a case needs
+        self.whole = [(sorted(own), ws) for ws, own in whole.items()]
         flat, part, at = [], [], []
-        owners: dict[tuple, set[int]] = {}
-        for p, (item, ws, _) in enumerate(self.parts):
-            for i in range(len(ws) - SEED + 1):
-                owners.setdefault(tuple(ws[i : i + SEED]), set()).add(item)
         for p, (_, ws, _) in enumerate(self.parts):
             for i, w in enumerate([*ws, *[1] * SEED]):
                 flat.append(w)
                 part.append(p)
                 at.append(i)
         self.flat, self.part, self.at = np.array(flat, np.int64), np.array(part, np.int64), np.array(at, np.int64)
-        good = [i + SEED <= len(self.parts[p][1]) and len(owners[tuple(self.parts[p][1][i : i + SEED])]) <= SHARED for p, i in zip(part, at)]
+        good = [i + SEED <= len(self.parts[p][1]) for p, i in zip(part, at)]
         self.seeds = np.nonzero(np.array(good, bool))[0] if good else np.zeros(0, np.int64)
 
 
@@ -134,6 +131,15 @@ def search(texts: list[tuple[int, np.ndarray]], items: Items) -> Iterator[tuple[
     starts = np.cumsum([0, *(len(t) + SEED for t in docs)])
     pad = np.zeros(SEED, np.int64)
     shard = np.concatenate([x for t in docs for x in (t, pad)]) if docs else pad
+    if items.whole:
+        by_word = np.argsort(shard, kind="stable")
+        spelt = shard[by_word]
+        for own, ws in items.whole:
+            at = by_word[np.searchsorted(spelt, ws[0], "left") : np.searchsorted(spelt, ws[0], "right")]
+            for k, w in enumerate(ws):
+                at = at[shard[at + k] == w]  # separators end each text, so that no run goes beyond it
+            for n in np.unique(np.searchsorted(starts, at, "right") - 1):
+                yield from ((int(n), item, len(ws)) for item in own)
     rank = suffix_ranks(np.concatenate([shard, items.flat]), SEED)
     mine = rank[: len(shard)]
     known = np.nonzero(shard > 1)[0]  # a suffix that begins with a word of no item matches none
@@ -152,7 +158,7 @@ def search(texts: list[tuple[int, np.ndarray]], items: Items) -> Iterator[tuple[
     part, at, inside = items.part[seed], items.at[seed], place - starts[owner]
     cut = np.nonzero((np.diff(owner) != 0) | (np.diff(part) != 0))[0] + 1
     for a, b in zip([0, *cut], [*cut, len(seed)]):
-        item, ws, least = items.parts[part[a]]
+        own, ws, least = items.parts[part[a]]
         doc = docs[owner[a]]
         # runs on one diagonal are verbatim matches
         diagonal = inside[a:b] - at[a:b]
@@ -167,7 +173,7 @@ def search(texts: list[tuple[int, np.ndarray]], items: Items) -> Iterator[tuple[
                 found, last = aligned(ws, doc, int(r[0]), int(r[0] + g), least)
                 done |= {(g, int(x[0])) for x in runs if r[0] <= x[0] <= last}
         if found:
-            yield int(owner[a]), item, longest
+            yield from ((int(owner[a]), item, longest) for item in own)
 
 
 def _collect(items: DataFrame, key: str, question: str, answer: str) -> Iterator[list[tuple]]:
@@ -193,7 +199,7 @@ def leaks(
     A passage is ``LEAST_WORDS`` consecutive words of an item's question or
     answer, or the whole of a shorter question; about one word in ten may differ.
     ``longest_match`` has the words of the longest verbatim run (of ``SEED`` or
-    more). Null and empty texts hold no passage, nor do null items; rows with a
+    more; of a question with fewer words, which must stand there unchanged, all). Null and empty texts hold no passage, nor do null items; rows with a
     null id are left out. Repeated documents and items count once. Copies under
     other ids come out each. Extra columns are ignored. Empty tables give an
     empty table.

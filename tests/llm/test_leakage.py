@@ -101,3 +101,15 @@ def test_folding():
     assert fold("Écrire,") == "ecrire" and fold("—") == "" and fold("Ｆｕｌｌ") == "full" and fold("раура1") == "paypa1"
     assert unescape(r"a\nb A &amp; <b>x</b>") == "a b A &  x "
     assert words("foo-\nbar it's", {}) == ["foobar", "its"]
+
+
+def test_items_with_shared_words_and_the_shortest_questions(spark):
+    """Repeated items, a template of many items and questions of fewer words than a seed."""
+    same, template = made(40, 300), made(25, 301)
+    items = [(k, "which one of these is it then", " ".join(same)) for k in range(8)]
+    items += [(20 + k, " ".join(made(9, 400 + k)), " ".join(template + made(10, 500 + k))) for k in range(8)]
+    items += [(40, "Why bother?", None), (41, "gamma", None)]
+    docs = [(1, " ".join(made(30, 600) + same[5:30] + made(30, 601))), (2, " ".join(made(30, 602) + template + made(30, 603))), (3, "well, why  bother"), (4, "why should we bother"), (5, "bother"), (6, "why")]
+    d, i = table(spark, docs, items)
+    got = {(r.doc_id, r.item_id): r.longest_match for r in leakage.leaks(d, i).collect()}
+    assert set(got) == {(1, k) for k in range(8)} | {(2, 20 + k) for k in range(8)} | {(3, 40)} and got[3, 40] == 2
