@@ -385,6 +385,44 @@ def _lines(text: str) -> Iterator[tuple[int, int, bool]]:
         yield start, *found[start]
 
 
+_CONTINUED = re.compile(r"([ \t]*(?:(?:#|//|--|\*|;|>)[ \t]*)?)([A-Za-z0-9+/_\-]+={0,2})[ \t]*\r?$")
+
+
+def _key_chars(piece: str) -> int | None:
+    """How many characters an encoded private key takes by the length in its head; None if its head gives none."""
+    hexed = re.fullmatch(r"[0-9a-fA-F]+", piece) is not None
+    b = next(decoded(piece[: len(piece) // 4 * 4]), b"")
+    if len(b) < 6 or b[0] != 0x30:
+        return None
+    more = b[1] & 0x7F if b[1] & 0x80 else 0
+    size = 2 + more + (int.from_bytes(b[2 : 2 + more]) if more else b[1])
+    return 2 * size if hexed else -(-size * 4 // 3)
+
+
+def wrapped_end(text: str, start: int, end: int) -> int:
+    """Where an encoded private key ends that begins in text[start:end] and may go on over unquoted lines.
+
+    Further lines have the same alphabet and one indentation; a shorter line, padding or the length in the
+    key's head ends them.
+    """
+    stop = text.find("\n", end)
+    if stop < 0 or text[end:stop].strip(" \t\r") or not CARRIER.fullmatch(text[start:end]) or text[start:end].endswith("="):
+        return end
+    need, have, indent, width = _key_chars(text[start:end]), end - start, None, None
+    while need is None or have < need:
+        at = stop + 1
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        m = _CONTINUED.match(text[at:stop])
+        if not m or indent is not None and m[1] != indent or width is not None and len(m[2]) > width:
+            break
+        end, have = at + m.end(2), have + len(m[2])
+        if m[2].endswith("=") or width is not None and len(m[2]) < width or stop == len(text):
+            break
+        indent, width = m[1], len(m[2])
+    return end
+
+
 def scan(text: str, layer: int = 0) -> Iterator[Finding]:
     """Findings of a text in any order; one place may come more than once."""
     if not maybe(text):
@@ -402,6 +440,8 @@ def scan(text: str, layer: int = 0) -> Iterator[Finding]:
         before = whole[whole.rfind("\n", 0, max(at - 1, 0)) + 1 : at - 1] if at else ""
         for f in line_findings(whole[at:end], before, layer, marked):
             a, b = at + f.start, at + f.end
+            if f.kind == "private_key" and not BLOCK.match(whole, a):
+                b = wrapped_end(whole, a, b)
             shift_a = max((g for p, g in cuts if p <= a), default=0)
             shift_b = max((g for p, g in cuts if p < b), default=0)
             yield Finding(a + shift_a, b + shift_b, f.kind)

@@ -64,3 +64,16 @@ def test_tables(spark):
     red = S.redact_credentials(df).collect()
     assert len(red) == 6 and sum(r.credentials for r in red) == 4 and [r.content for r in red if r.chunk_key == 2] == [None]
     assert S.find_credentials(df.limit(0)).count() == 0 and S.redact_credentials(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("head, indent", [("data:\n  tls.key: |\n    ", "    "), ("TLS_KEY=", ""), ("# key of the old host\n# ", "# ")])
+@pytest.mark.parametrize("pem", [True, False])
+def test_wrapped_keys_are_redacted_whole(head, indent, pem):
+    body = b"\x30\x82\x04\xa4\x02\x01\x00\x02\x82\x01\x01" + bytes((i * 73 + 41) % 256 for i in range(1181))
+    if pem:
+        body = b"-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(body) + b"-----END RSA PRIVATE KEY-----\n"
+    lines = base64.b64encode(body).decode()
+    lines = [lines[i : i + 76] for i in range(0, len(lines), 76)]
+    text = head + f"\n{indent}".join(lines) + "\nafter: done\n"
+    out = S.redact(text, list(S.scan(text)))
+    assert not any(x in out for x in lines) and out.count("\n") == text.count("\n") and out.endswith("\nafter: done\n")
