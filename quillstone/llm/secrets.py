@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.folding import unescape
 
-LAYERS = 4
+#: Each layer is shorter than the one around it, so that decoding ends by itself; this only guards the stack.
+LAYERS = 64
 
 
 class Finding(NamedTuple):
@@ -76,16 +77,16 @@ PLACEHOLDER = re.compile(
 NAME = r"[\w$.\-]*(?:\[[\"'][\w.\-]+[\"']\])?"
 ASSIGN = re.compile(
     r"(?P<name>[\w$.\-]{1,80})(?:[\"'`]\]?|\]?)\s{0,4}(?::\s*[A-Za-z_][\w\[\]<>| ?]{0,24}?(?=\s*=[^=>]))?\s*(?::=|=>|=(?!=)|:(?![:/]))\s{0,8}\(?\s{0,4}(?:[bruf]{1,2}(?=[\"']))?"
-    r"(?:(?P<q>\"\"\"|'''|[\"'`])(?P<lit>(?:(?!(?P=q))[^\n\\]|\\.){0,4000})(?P<closed>(?P=q)?)|(?P<bare>[^\s\"'`,;)}\]]{3,400}))"
+    r"(?:(?P<q>\"\"\"|'''|[\"'`])(?P<lit>(?:(?!(?P=q))[^\n\\]|\\.)*)(?P<closed>(?P=q)?)|(?P<bare>[^\s\"'`,;)}\]]{3,}))"
 )
-URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,30}://(?P<user>[^\s/@:\"'<>`|]{0,80}):(?P<secret>[^\s/@\"'`<>|]{3,200})@[\w.\[\-]")
-PARAM = re.compile(r"(?i)[?&;](?:sig|signature|(?:[a-z]+[_-])?(?:api[_-]?)?key|(?:\w+[_-])?token|secret|password|pwd|pass|auth|code|sv_sig|credential)=(?P<secret>[^\s&\"'`<>;)]{8,400})")
-SCHEME = re.compile(r"(?i)(?<![\w-])(?:bearer|basic|token|apikey|digest)\s+(?P<secret>[A-Za-z0-9+/=._~\-]{8,2000})")
-SQL = re.compile(r"(?i)\b(?:identified\s+(?:with\s+\w+\s+)?by|(?:encrypted\s+)?password|set\s+password\s*=|pwd)\s*(?:=\s*)?(?P<q>['\"])(?P<secret>[^'\"\n]{4,400})(?P=q)?")
+URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,30}://(?P<user>[^\s/@:\"'<>`|]*):(?P<secret>[^\s/@\"'`<>|]{3,})@[\w.\[\-]")
+PARAM = re.compile(r"(?i)[?&;](?:sig|signature|(?:[a-z]+[_-])?(?:api[_-]?)?key|(?:\w+[_-])?token|secret|password|pwd|pass|auth|code|sv_sig|credential)=(?P<secret>[^\s&\"'`<>;)]{8,})")
+SCHEME = re.compile(r"(?i)(?<![\w-])(?:bearer|basic|token|apikey|digest)\s+(?P<secret>[A-Za-z0-9+/=._~\-]{8,})")
+SQL = re.compile(r"(?i)\b(?:identified\s+(?:with\s+\w+\s+)?by|(?:encrypted\s+)?password|set\s+password\s*=|pwd)\s*(?:=\s*)?(?P<q>['\"])(?P<secret>[^'\"\n]{4,})(?P=q)?")
 OPTION = re.compile(
-    r"(?:(?<=\s)-u|--user|--proxy-user)[ =]?[\"']?[\w.\-@]+:[\"']?(?P<a>[^\s\"']{4,200})|sshpass\s+-p\s*[\"']?(?P<b>[^\s\"']{4,200})"
-    r"|(?<=\s)--?(?:password|passwd|pass|token|secret|api-key|apikey|passphrase|secret-key|access-token|auth-token|storepass|keypass)[ =][\"']?(?P<c>[^\s\"']{4,200})"
-    r"|\b(?:mysql|mysqldump|mariadb|psql|redis-cli|ldapsearch|mongo)\b[^\n]*?\s-(?:p|a|w)\s?[\"']?(?P<d>[^\s\"'\-][^\s\"']{5,200})"
+    r"(?:(?<=\s)-u|--user|--proxy-user)[ =]?[\"']?[\w.\-@]+:[\"']?(?P<a>[^\s\"']{4,})|sshpass\s+-p\s*[\"']?(?P<b>[^\s\"']{4,})"
+    r"|(?<=\s)--?(?:password|passwd|pass|token|secret|api-key|apikey|passphrase|secret-key|access-token|auth-token|storepass|keypass)[ =][\"']?(?P<c>[^\s\"']{4,})"
+    r"|\b(?:mysql|mysqldump|mariadb|psql|redis-cli|ldapsearch|mongo)\b[^\n]*?\s-(?:p|a|w)\s?[\"']?(?P<d>[^\s\"'\-][^\s\"']{5,})"
 )
 LOGIN = re.compile(
     r"(?i)(?<![\w.])(?:log(?:ged|ging)?[ -]?in|login|user(?:name)?|creds?|credentials?|account|zugang(?:sdaten)?|anmeldung|conn|acc[eè]s|acceso|usu[aá]rio|benutzer|compte|identifiants?|machine"
@@ -235,10 +236,10 @@ def inside(b: bytes, layer: int) -> str | None:
             return None
     else:
         text = b.decode("ascii")
-    if m := re.fullmatch(r"[\w.@\-]{2,64}:([^\s:/][^\s]{5,200})", text.strip()):
+    if m := re.fullmatch(r"[\w.@\-]{2,64}:([^\s:/][^\s]{5,})", text.strip()):
         if not PLACEHOLDER.match(m[1]) and (random_like(m[1]) or not wordy(m[1])):
             return "login"
-    if re.fullmatch(r"[A-Za-z0-9_./+=!#$%^&*@~\-]{10,400}", text) and (random_like(text) or re.fullmatch(r"[0-9a-f]{32,128}", text)):
+    if re.fullmatch(r"[A-Za-z0-9_./+=!#$%^&*@~\-]{10,}", text) and (random_like(text) or re.fullmatch(r"[0-9a-f]{32,}", text)):
         return "encoded"  # hardly anything but a secret is a random word that was encoded
     found = next(scan(text, layer + 1), None)
     return found.kind if found else None
@@ -256,9 +257,11 @@ def line_findings(line: str, before: str, layer: int, marked: bool = True) -> It
         v = m.group()
         if not re.search(r"(?i)example|x{6,}|\*{3,}|(.)\1{7,}", v):
             yield Finding(m.start(), m.end(), m.lastgroup or "token")
-    if m := BLOCK.search(line):
-        yield Finding(m.start(), m.end(), "private_key")
-        return
+    if "-----BEGIN" in line or "PuTTY" in line:
+        for m in list(BLOCK.finditer(line)):
+            end = m.end() if m.group().startswith("PuTTY") else block_end(line, m.start())
+            yield Finding(m.start(), m.end(), "private_key")
+            line = line[: m.start()] + " " * (end - m.start()) + line[end:]  # what stands around the block is judged as well
     if "://" in line:
         for m in URL.finditer(line):
             v = m["secret"]
@@ -329,7 +332,7 @@ def noted(v: str) -> bool:
 def encoded_findings(line: str, layer: int) -> Iterator[Finding]:
     for m in CARRIER.finditer(line):
         piece = m.group()
-        if piece.isalpha() or len(piece) > 100_000:
+        if piece.isalpha():
             continue
         # base64 of text has a letter of each case; a plain word with hyphens doesn't decode to text
         for b in decoded(piece):
@@ -340,16 +343,37 @@ def encoded_findings(line: str, layer: int) -> Iterator[Finding]:
             plain = unescape(m.group())
             if plain != m.group() and next(scan(plain, layer + 1), None):
                 yield Finding(m.start(), m.end(), "encoded")
-    if ESCAPES.search(line):
-        octal = re.sub(r"\\([0-3][0-7]{2})", lambda m: chr(int(m[1], 8)), line) if "\\" in line else line
-        plain = unescape(octal)
-        if plain != line and (f := next(scan(plain, layer + 1), None)):
-            run = ESCAPES.search(line)
-            # the enclosing literal, or what has no white space, is the carrier
-            start = max(line.rfind(c, 0, run.start()) for c in "\"'` \t") + 1
-            closing = line[start - 1] if start else ""
-            end = line.find(closing, run.end()) if closing in ("'", '"', "`") and closing else -1
-            yield Finding(start, end if end > 0 else len(line), f.kind)
+    runs: list[tuple[int, int]] = []
+    for run in ESCAPES.finditer(line):
+        # the enclosing literal, or what has no white space, is the carrier
+        if runs and run.start() < runs[-1][1]:
+            continue
+        start = max(line.rfind(c, 0, run.start()) for c in "\"'` \t") + 1
+        closing = line[start - 1] if start else ""
+        end = line.find(closing, run.end()) if closing in ("'", '"', "`") and closing else -1
+        if end < 0:
+            end = m.start() if (m := _GAP.search(line, run.end())) else len(line)
+        runs.append((max(start, runs[-1][1] if runs else 0), end))
+    found = False
+    for n, (start, end) in enumerate(runs):
+        piece = _plain(line[start:end])
+        if piece == line[start:end]:
+            continue
+        before = line[runs[n - 1][1] if n else 0 : start]
+        after = line[end : runs[n + 1][0] if n + 1 < len(runs) else len(line)]
+        inner = scan(before + piece + after, layer + 1)
+        if f := next((f for f in inner if f.start < len(before) + len(piece) and f.end > len(before)), None):
+            found = True
+            yield Finding(start, end, f.kind)
+    if runs and not found and (plain := _plain(line)) != line and (f := next(scan(plain, layer + 1), None)):
+        yield from (Finding(start, end, f.kind) for start, end in runs)  # only the parts together make a secret
+
+
+_GAP = re.compile(r"[\s\"'`]")
+
+
+def _plain(text: str) -> str:
+    return unescape(re.sub(r"\\([0-3][0-7]{2})", lambda m: chr(int(m[1], 8)), text) if "\\" in text else text)
 
 
 def _lines(text: str) -> Iterator[tuple[int, int, bool]]:

@@ -77,3 +77,23 @@ def test_wrapped_keys_are_redacted_whole(head, indent, pem):
     text = head + f"\n{indent}".join(lines) + "\nafter: done\n"
     out = S.redact(text, list(S.scan(text)))
     assert not any(x in out for x in lines) and out.count("\n") == text.count("\n") and out.endswith("\nafter: done\n")
+
+
+def redacted(text):
+    return S.redact(text, list(S.scan(text)))
+
+
+def test_a_line_is_judged_to_its_end():
+    block = "-----BEGIN PRIVATE KEY-----\\nMIIEvQIBADANBgkq\\n-----END PRIVATE KEY-----"
+    out = redacted('{"private_key": "' + block + '\\n", "password": "Zx81kQpT44wq", "other": "' + block.replace("MIIE", "MIIF") + '"}')
+    assert "MII" not in out and "Zx81kQpT44wq" not in out
+    hexed = lambda v: "".join(f"\\x{ord(c):02x}" for c in v)
+    out = redacted('title = "' + hexed("plain words") + '"; password = "' + hexed("Zx81kQpT44wq") + '"')
+    assert hexed("Zx81kQpT44wq") not in out and hexed("plain words") in out
+    long = "Zx81kQpT44wq" * 500
+    for line in (f"password={long}", f'password = "{long}"', f"https://a.example.net/x?api_key={long}", f"tool --password {long}", f"postgres://app:{long}@db.internal/x"):
+        assert "44wq" not in redacted(line), line[:30]
+    text = 'password = "Zx81kQpT44wq"'
+    for _ in range(7):
+        text = base64.b64encode(text.encode()).decode()
+    assert text not in redacted(f"blob: {text}")
