@@ -9,18 +9,15 @@ from pyspark.sql import functions as F
 
 from quillstone.plans.shared import shared_folder
 
-#: How long a repeated entry of the log is known as one, by the time it was taken in.
-REPEATS = "90 days"
-
 
 def figures(stream: DataFrame) -> DataFrame:
     """(project, n, reward_sum, rewarded, praised, blamed): running figures of a stream of log entries.
 
-    Entries of equal id count once while they come within ``REPEATS`` of each
-    other, so that the state stays bounded. Null ids are left out; null rewards
-    count as entries without a reward.
+    Entries of equal id count once, however late or out of order they come; the
+    state holds each id. Null ids are left out; null rewards count as entries
+    without a reward.
     """
-    once = stream.where("id is not null").withWatermark("ingested_at", REPEATS).dropDuplicatesWithinWatermark(["id"])
+    once = stream.where("id is not null").dropDuplicates(["id"])
     return once.groupBy(F.lower(F.trim("project_name")).alias("project")).agg(
         F.count("*").alias("n"), F.sum(F.col("reward").cast("decimal(18,2)")).alias("reward_sum"), F.count("reward").alias("rewarded"), F.count_if(F.col("reward") > 0).alias("praised"), F.count_if(F.col("reward") < 0).alias("blamed")
     )

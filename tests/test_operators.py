@@ -243,3 +243,14 @@ def test_records(spark, tmp_path):
     records.append_feedback(log, str(tmp_path / "log"))
     assert [json.loads(r.query_vector) for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [[0.5], [0.5]]
     assert records.with_columns_of(store, store.withColumn("x", F.lit(1))).count() == 4
+
+
+def test_feedback_stream_counts_late_entries_of_many_files(spark, tmp_path):
+    """Files far out of order in time, more of them than a batch takes, with a repeat a year later."""
+    from quillstone.streaming.feedback import follow
+
+    path = str(tmp_path / "log.parquet")
+    for n, month in enumerate((12, 11, 1, 2, 10, 3, 1)):
+        log = spark.createDataFrame([(n, "p", 1.0, f"2024-{month:02d}-05 00:00:00"), (0, "p", 1.0, f"2024-{month:02d}-06 00:00:00")], "id long, project_name string, reward double, at string")
+        log.select("id", "project_name", "reward", F.to_timestamp("at").alias("ingested_at")).coalesce(1).write.mode("append").parquet(path)
+    assert [(r.project, r.n) for r in follow(spark, path, 1).collect()] == [("p", 7)]
