@@ -39,8 +39,8 @@ _AT = r"(?:\s?[\[({<]\s?(?:at|a|AT|At|arroba|arobase|ät|@)\s?[\])}>]\s?|\s[\-_]
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|DOT|\.|punkt|punto|point|ponto)\s?[\])}>]\s?|\s(?:dot|DOT|punkt|punto|point|ponto)\s|\.)"
 SPELLED = re.compile(rf"(?<![\w.+@\-])([^\W_][\w+\-]*(?:{_DOT}[\w+\-]+)*){_AT}((?:[^\W_][\w\-]*{_DOT})+[A-Za-z]{{2,18}})(?![\w(]|\.\w)")
 SPOKEN = re.compile(r"(?i)(?<![\w.+@\-])([^\W_][\w+\-]*(?:(?:\sdot\s|\.)[\w+\-]+)*)\s(?:at|ät|arroba|chez)\s((?:[^\W_][\w\-]*(?:\sdot\s|\.))*[^\W_][\w\-]*\sdot\s[A-Za-z]{2,18})(?!\w)")
-#: Each with what a line must hold in lower case.
-SPELT = [(("at]", "at)", "at}", "at>", "a)", "a]", "a}", "a>", "_at_", "-at", "at-", "arroba", "arobase", "ät", "@)", "@]", "@}", "@>", "at ]", "at )", "a ]", "a )"), SPELLED), ((" dot ",), SPOKEN)]
+#: Each with what a line must hold: every alternative of its pattern holds it.
+SPELT = [(re.compile(r"[\[({<]\s?(?:at|a|AT|At|arroba|arobase|ät|@)\s?[\])}>]|AT|_at_|arroba|arobase"), SPELLED), (re.compile(r"(?i)\sdot\s"), SPOKEN)]
 # --- phone ---------------------------------------------------------------------------------------------------
 _S = "[ \u00a0\u2009\u202f.\\-]"
 _EXT = r"(?:,?[ \u00a0](?:ext\.?|x|Durchwahl|poste|extensión|ramal|доб\.|内线|内線)[ \u00a0]?\d{1,6})?"
@@ -187,7 +187,7 @@ _TELLING = frozenset(
     " reported written reviewed approved assigned author authors signed authored acked tested owner maintainer reviewer assignee contact customer patient employee name fullname firstname lastname created updated nutzer nombre nom"
     " team equipe equipo call leave vacation holiday notes protokoll minutes presents present attendees teilnehmer dear hi hello hallo bonjour hola liebe lieber geehrte geehrter cher estimado estimada".split()
 )
-_PLACES = frozenset(w for marks in _ADDRESS_MARKS[:7] if marks for w in marks if w.isalpha() and w.isascii()) | frozenset(_WAY_WORDS) | frozenset("terrace crescent avenue av bd c avda o po address adresse anschrift domicilio ship lives wohnhaft bp".split())
+_PLACES = frozenset(w for marks in _ADDRESS_MARKS[:7] if marks for w in marks if w.isalpha() and w.isascii()) | frozenset(_WAY_WORDS) | frozenset("terrace crescent avenue av bd c avda o po address adresse anschrift domicilio endereco ship lives wohnhaft bp".split())
 _ENDINGS = ("strasse", "str", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig", "markt", "graben", "hof", "berg", "chaussee", "stieg", "pfad", "direccion")
 _PLAIN_WORD = re.compile(r"[a-z]+")
 
@@ -242,8 +242,8 @@ def line_mentions(line: str) -> Iterator[Mention]:
             taken.append(m.span())
             yield Mention(*m.span(), "email")
     low = line.lower()
-    for marks, pattern in SPELT:
-        if any(x in low for x in marks) or pattern is SPELLED and "AT" in line:
+    for mark, pattern in SPELT:
+        if mark.search(line):
             for m in pattern.finditer(line):
                 if free(*m.span()) and not m.group().isupper():
                     taken.append(m.span())
@@ -269,7 +269,7 @@ def line_mentions(line: str) -> Iterator[Mention]:
                     taken.append((a, b))
                     yield Mention(a, b, "phone")
     ascii_words = _PLAIN_WORD.findall(low) if line.isascii() else None
-    place = ascii_words is None or not _PLACES.isdisjoint(ascii_words) or any(w.endswith(_ENDINGS) for w in ascii_words) or _CODE_BEFORE_CITY.search(line)
+    place = ascii_words is None or not _PLACES.isdisjoint(ascii_words) or any(w.endswith(_ENDINGS) for w in ascii_words) or "b.p." in low or _CODE_BEFORE_CITY.search(line)
     if place and _DIGIT.search(line):
         for k, pattern in enumerate((*ADDRESSES, ADDRESS_CUE)):
             if not (_may_hold(k, line, low) if k < len(ADDRESSES) else any(w in low for w in _ADDRESS_WORDS)):
@@ -288,7 +288,7 @@ def line_mentions(line: str) -> Iterator[Mention]:
         return
     for m in BARE.finditer(line):
         given = m["g"] or m["h"]
-        if (given is None or given in GIVEN) and free(*m.span("v")) and not ORGANISATION.search(m["v"]):
+        if (given is None or not GIVEN.isdisjoint(given.split("-"))) and free(*m.span("v")) and not ORGANISATION.search(m["v"]):
             taken.append(m.span("v"))
             yield Mention(*m.span("v"), "name")
 

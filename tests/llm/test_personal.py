@@ -67,3 +67,20 @@ def test_tables(spark):
     assert len(out) == 8 and texts[2] == texts[6] and "29787068G" not in texts[2] and re.match(r"call \[PHONE \+\d\d \d{4} \d{6}\]$", texts[1]) and texts[3] is None and texts[4] == ""
     assert P.pseudonymize(df, "other").where("doc_id = 1").first().text != texts[1]
     assert P.find_personal(df.limit(0)).count() == 0 and P.pseudonymize(df.limit(0), "k").count() == 0
+
+
+def test_prefilters_pass_every_alternative():
+    for a, b in ("[]", "()", "{}", "<>"):
+        for at in ("at", "a", "AT", "At", "arroba", "arobase", "ät", "@"):
+            for gap in ("", " "):
+                line = f"write to jan.novak {a}{gap}{at}{gap}{b} example {a}{gap}dot{gap}{b} com"
+                assert bool(P.SPELLED.search(line)) == ("email" in {m.kind for m in P.line_mentions(line)}), line
+    for at in (" AT ", " -AT- ", " _AT_ ", "_at_", " _at_ ", " arroba ", " arobase "):
+        line = f"write to jan.novak{at}example.com"
+        assert bool(P.SPELLED.search(line)) == ("email" in {m.kind for m in P.line_mentions(line)}), line
+    assert [m.kind for m in P.line_mentions("jan\tat\texample\tdot\tcom")] == ["email"]
+    for box in ("P.O. Box", "PO Box", "p.o.box", "post office box", "Postfach", "boite postale", "B.P.", "b.p.", "Apartado", "apartado de correos", "Caixa Postal"):
+        assert [m.kind for m in P.line_mentions(f"send it to {box} 1420")] == ["address"], box
+    for label in ("home address", "Adresse", "Anschrift", "Direccion", "domicilio", "endereco", "ship_to"):
+        assert "address" in {m.kind for m in P.line_mentions(f"{label}: 12 Kesten Mirova, Harbin")}, label
+    assert "name" in {m.kind for m in P.line_mentions("it was Anna-Lena Schmidt again")}
