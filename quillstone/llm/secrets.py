@@ -99,13 +99,18 @@ CARRIER = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 PERCENT = re.compile(r"(?:[A-Za-z0-9_.~\-]|%[0-9A-Fa-f]{2}){0,400}?(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~\-]{0,3}){3,}[A-Za-z0-9_.~\-%]*")
 ESCAPES = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u\{?[0-9a-fA-F]{4}\}?|&\#x?[0-9a-fA-F]{2,5};|\\[0-7]{3}){3}")
 PHRASE = re.compile(r"^[A-Za-z0-9]{3,}(?:[-_.][A-Za-z0-9]{2,}){2,}[-_.]?\d{1,4}$")
-#: A text without any of these, in lower case, and without a long run holds nothing to judge.
-MARKS = (
+#: Words of which a text that the patterns below judge holds one, besides the names of secrets.
+_MARKS = (
     "pass", "pwd", "secret", "token", "key", "bearer", "basic ", "auth", "-----begin", "cred", "login", "log in", "zugang", "senha", "contrase",
     "clave", "jeton", "akia", "asia", "glpat", "xox", "xapp", "k_live", "k_test", "k_prod", "hf_", "npm_", "sg.", "aiza", "hmac", "kennwort", "conn",
     "пароль", "доступ", "密码", "密碼", "パスワード", "ログイン", "पासवर्ड", "\\x", "\\u00", "&#", "pw", "sig=", "-u ", "user", "account", "acces", "accès",
     "identifi", "compte", "benutzer", "usuario", "usuário", "machine", "anmeldung", "putty", "\\1", "\\0",
 )
+#: Commands and options of OPTION and parameters of PARAM.
+_COMMANDS = ("mysql", "mariadb", "psql", "redis-cli", "ldapsearch", "mongo", "sshpass", "--user", "--proxy-user", "-u", "code=", "sig=", "signature=", "sv_sig=", "digest", "basic", "salasana", "acceso", "usuário")
+#: A text without any of these, in lower case, and without a long run holds nothing to judge. A word that holds another one isn't needed.
+_EVERY = sorted({*_MARKS, *_COMMANDS, *SECRET_WORDS})
+MARKS = tuple(w for w in _EVERY if not any(x in w for x in _EVERY if x != w))
 LONG = re.compile(r"[A-Za-z0-9+/_\-]{20}|://[^\s/@]*:[^\s/@]+@|%[0-9A-Fa-f]{2}[A-Za-z0-9_.~\-]{0,3}%")
 SEAM = re.compile(r"([\"'])[ \t]*(?:\+|\.\.|\.|&|<>|~|\\)?[ \t]*\r?\n[ \t]*(?:\+|\.\.|\.|&|<>)?[ \t]*(?:[bruf]{1,2}(?=[\"']))?\1|([\"'])[ \t]*(?:\+|\.\.|\.(?!\.)|&)[ \t]*\2")
 LABEL = re.compile(r"(?i)^\s*-?\s*[\"']?(?:name|key)[\"']?\s*:\s*[\"']?(?P<name>[\w.\-]+)")

@@ -97,3 +97,16 @@ def test_a_line_is_judged_to_its_end():
     for _ in range(7):
         text = base64.b64encode(text.encode()).decode()
     assert text not in redacted(f"blob: {text}")
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        *(f'{w} = "Zx81kQpT44wq"' for w in sorted(S.SECRET_WORDS)), *(f'{w}_key = "Zx81kQpT44wq"' for w in sorted(S.KEY_WORDS)),
+        "wachtwoord: Zx81kQpT44wq", "redis-cli -h cache01 -a Zx81kQpT44wq", "mysqldump -h db1 -pZx81kQpT44wq", "mysql -h db1 -pZx81kQpT44wq", "mariadb -h db1 -pZx81kQpT44wq", "ldapsearch -h d1 -w Zx81kQpT44wq",
+        "mongo -h db1 -p Zx81kQpT44wq", "curl -uadm:Zx81kQpT44wq h.example", "curl --user adm:Zx81kQpT44wq h.example", "sshpass -p Zx81kQpT44wq ssh h", "GET http://h/x?code=Zx81kQpT44wq", "GET http://h/x?signature=Zx81kQpT44wq",
+    ],
+)
+def test_every_pattern_is_reached(line):
+    """What the patterns find in a line, they find in a text as well."""
+    assert list(S.line_findings(line, "", 0)) and S.maybe(line) and list(S.scan(f"one\n{line}\ntwo\n"))
