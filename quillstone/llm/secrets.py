@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -26,9 +26,6 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.folding import unescape
 
-#: Each layer is shorter than the one around it, so that decoding ends by itself; this only guards the stack.
-LAYERS = 64
-
 
 class Finding(NamedTuple):
     start: int  # of the carrier in the text
@@ -48,7 +45,12 @@ ISSUED = re.compile(
     r"|(?P<dotted>[a-z]{2,6}\.[A-Za-z0-9]{8}\.[0-9a-f]{24,})"
     r")"
 )
-BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*?PRIVATE KEY(?: BLOCK)?-----|PuTTY-User-Key-File-\d:")
+BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*?PRIVATE KEY(?: BLOCK)?-----|PuTTY-User-Key-File-\d: ?[\w\-]*")
+BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*?PRIVATE KEY(?: BLOCK)?-----|Private-MAC: ?[0-9a-f]*")
+#: What may stand between the lines of a key: line ends, plain or escaped, and the quotes, joining and comment marks around literals.
+KEY_GAP = re.compile(r"(?:\\+[nrt]|\\\r?\n|[\s\"'`]|(?:[+.&,;~]|<>)(?=[\s\"'`\\])|(?<=[\s,+(])[bruf]{1,2}(?=[\"'])|(?<=\n)(?:#|//|\*|--|;|>|\|)+(?=[ \t\r\n]))*")
+KEY_LINE = re.compile(r"[A-Za-z0-9+/_\-]+={0,2}(?![\w(:.\[=$@%])")
+KEY_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|Encryption|Public-Lines|Private-Lines|Key-Derivation|Argon2-[A-Z][a-z]+(?:-[A-Z][a-z]+)?): ?[^\n\\\"']*")
 #: Words that name a secret, as folded parts of an identifier.
 SECRET_WORDS = {
     "password", "passwd", "passwort", "passphrase", "pwd", "pass", "pw", "secret", "token", "apikey", "kennwort", "senha", "contrasena",
@@ -76,7 +78,7 @@ PLACEHOLDER = re.compile(
 )
 NAME = r"[\w$.\-]*(?:\[[\"'][\w.\-]+[\"']\])?"
 ASSIGN = re.compile(
-    r"(?P<name>[\w$.\-]{1,80})(?:[\"'`]\]?|\]?)\s{0,4}(?::\s*[A-Za-z_][\w\[\]<>| ?]{0,24}?(?=\s*=[^=>]))?\s*(?::=|=>|=(?!=)|:(?![:/]))\s{0,8}\(?\s{0,4}(?:[bruf]{1,2}(?=[\"']))?"
+    r"(?P<name>[\w$.\-]{1,80})(?:[\"'`]\]?|\]?)\s{0,4}(?::\s*[A-Za-z_][\w\[\]<>|. ?]*?(?=\s*=[^=>]))?\s*(?::=|=>|=(?!=)|:(?![:/]))\s{0,8}\(?\s{0,4}(?:[bruf]{1,2}(?=[\"']))?"
     r"(?:(?P<q>\"\"\"|'''|[\"'`])(?P<lit>(?:(?!(?P=q))[^\n\\]|\\.)*)(?P<closed>(?P=q)?)|(?P<bare>[^\s\"'`,;)}\]]{3,}))"
 )
 URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,30}://(?P<user>[^\s/@:\"'<>`|]*):(?P<secret>[^\s/@\"'`<>|]{3,})@[\w.\[\-]")
@@ -96,7 +98,8 @@ LOGIN = re.compile(
 NOTE = re.compile(r"^(?!.*(?:ENC\[|Copyright|sealed))\s*(?:#|//|--|/?\*|;|<!--|\||[-+>]\s|\d+[.)]\s|(?:[^=({;]|(?<!\w)\()*$)")
 WORD = re.compile(r"[^\s\"'`|,()<>{}\[\]]+")
 CARRIER = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
-PERCENT = re.compile(r"(?:[A-Za-z0-9_.~\-]|%[0-9A-Fa-f]{2}){0,400}?(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~\-]{0,3}){3,}[A-Za-z0-9_.~\-%]*")
+PERCENT = re.compile(r"(?:[A-Za-z0-9_.~\-]|%(?=[0-9A-Fa-f]{2}))+")
+PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~\-]{0,3}){3}")
 ESCAPES = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u\{?[0-9a-fA-F]{4}\}?|&\#x?[0-9a-fA-F]{2,5};|\\[0-7]{3}){3}")
 PHRASE = re.compile(r"^[A-Za-z0-9]{3,}(?:[-_.][A-Za-z0-9]{2,}){2,}[-_.]?\d{1,4}$")
 #: Words of which a text that the patterns below judge holds one, besides the names of secrets.
@@ -170,43 +173,60 @@ def wordy(v: str) -> bool:
     return bool(re.fullmatch(r"[A-Za-z]+(?:[._\-/ :][A-Za-z]+)*", v)) and not random_like(v)
 
 
-def private_container(b: bytes) -> bool:
-    """Whether bytes follow the grammar of a private key: OpenSSH, PKCS#1, PKCS#8, SEC 1 or PKCS#12.
+def _elements(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the DER elements that fill b[at:end] exactly; None if they don't.
 
-    The first line of a wrapped container is enough, as its head names it.
+    The last one may go on beyond the bytes that are there, if these are cut off.
     """
-    if b.startswith((b"openssh-key-v1\0", b"PuTTY-User-Key-File-")):
-        return True
-
-    def header(at: int) -> tuple[int, int, int] | None:
-        """Tag, start of the value and its length."""
+    found = []
+    while at < min(end, len(b)):
         if at + 2 > len(b):
-            return None
-        n, start = b[at + 1], at + 2
+            return found if end > len(b) else None
+        tag, n, start = b[at], b[at + 1], at + 2
         if n & 0x80:
             more = n & 0x7F
-            if not 1 <= more <= 4 or start + more > len(b):
+            if not 1 <= more <= 4:
                 return None
+            if start + more > len(b):
+                return found if end > len(b) else None
             n, start = int.from_bytes(b[start : start + more]), start + more
-        return b[at], start, n
+        if start + n > end:
+            return None
+        found.append((tag, start, start + n))
+        at = start + n
+    return found
+
+
+def private_container(b: bytes, whole: bool = False) -> bool:
+    """Whether bytes follow the grammar of a private key: OpenSSH, PKCS#1, PKCS#8, SEC 1, DSA or PKCS#12.
 
-    outer = header(0)
-    if len(b) < 32 or not outer or outer[0] != 0x30 or outer[2] < 30 or outer[1] + outer[2] < len(b):
+    Every length must add up with the one around it. Without ``whole`` the bytes may
+    be cut off, as the first line of a wrapped container is; what is there must fit.
+    """
+    if b.startswith((b"openssh-key-v1\0", b"PuTTY-User-Key-File-")):
+        return True
+    if len(b) < 32 or b[0] != 0x30:
         return False
-    version = header(outer[1])
-    if not version or version[0] != 2 or version[2] != 1 or version[1] >= len(b):
+    more = b[1] & 0x7F if b[1] & 0x80 else 0
+    size = 2 + more + (int.from_bytes(b[2 : 2 + more]) if more else b[1])
+    if more > 4 or size < len(b) or size > len(b) and whole or size < 32:
         return False
-    number, following = b[version[1]], header(version[1] + 1)
-    if not following:
+    parts = _elements(b, 2 + more, size)
+    if not parts or parts[0][0] != 2 or parts[0][2] - parts[0][1] != 1 or len(parts) < 2 or parts[0][1] >= len(b):
         return False
-    if number == 0 and following[0] == 2 and following[2] >= 32:  # PKCS#1: the modulus follows
-        return True
-    if number in (0, 1) and following[0] == 0x30:  # PKCS#8: an algorithm identifier follows
-        inner = header(following[1])
-        return bool(inner and inner[0] == 6)
-    if number == 1 and following[0] == 4 and following[2] in range(20, 80):  # SEC 1: the private value follows
-        return True
-    return number == 3 and following[0] == 0x30
+    number, tags, cut = b[parts[0][1]], [t for t, _, _ in parts], size > len(b)
+    second = parts[1]
+    if number == 0 and set(tags) == {2}:  # PKCS#1 has nine numbers, DSA six; the modulus comes first
+        return second[2] - second[1] >= 32 and (cut or len(tags) in (6, 9))
+    if number in (0, 1) and second[0] == 0x30:  # PKCS#8: an algorithm's identifier, then the key in an octet string
+        inner = _elements(b, second[1], second[2])
+        return bool(inner and inner[0][0] == 6) and (tags[2:3] == [4] or cut and len(tags) == 2) and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
+    if number == 1 and second[0] == 4 and second[2] - second[1] in range(20, 80):  # SEC 1: the private value, curve and point
+        return all(t in (0xA0, 0xA1) for t in tags[2:])
+    if number == 3 and second[0] == 0x30:  # PKCS#12: the kind of the content, then its check value
+        inner = _elements(b, second[1], second[2])
+        return bool(inner and inner[0][0] == 6) and set(tags[2:]) <= {0x30}
+    return False
 
 
 _PRINT = bytes(c for c in range(256) if 32 <= c < 127 or c in (9, 10, 13))
@@ -226,18 +246,19 @@ def decoded(piece: str) -> Iterator[bytes]:
         return
 
 
-def inside(b: bytes, layer: int) -> str | None:
+def inside(b: bytes) -> str | None:
     """The kind of the secret that decoded bytes hold, if any."""
     if len(b) < 8:
         return None
     if b.translate(None, _PRINT):
         if private_container(b):
             return "private_key"
+        wide = next((c for c, zeros in (("utf-16-le", b[1::2]), ("utf-16-be", b[::2])) if len(b) % 2 == 0 and zeros.count(0) > 0.7 * len(zeros)), None)
         try:
-            text = b.decode("utf-8")
+            text = b.decode(wide or "utf-8").removeprefix("\ufeff")
         except UnicodeDecodeError:
             return None
-        if not text.isprintable():
+        if not text.translate(_SPACES).isprintable():
             return None
     else:
         text = b.decode("ascii")
@@ -246,34 +267,33 @@ def inside(b: bytes, layer: int) -> str | None:
             return "login"
     if re.fullmatch(r"[A-Za-z0-9_./+=!#$%^&*@~\-]{10,}", text) and (random_like(text) or re.fullmatch(r"[0-9a-f]{32,}", text)):
         return "encoded"  # hardly anything but a secret is a random word that was encoded
-    found = next(scan(text, layer + 1), None)
+    found = next(scan(text), None)
     return found.kind if found else None
 
 
+_SPACES = {9: " ", 10: " ", 13: " "}
+#: What stands before a value whose name says that it is no secret: an identifier, a check value, a position.
+_NO_SECRET = re.compile(r"(?i)(?:e-?tag|checksum|digest|sha\d*|md5|hash|uuid|guid|(?<![a-z])id|revision|rev|version|build|commit|cursor|nonce|integrity|fingerprint|if-none-match)[\"'\]]{0,2}\s*(?::|=>?|,)\s*(?:W/)?[\"'`]{0,2}$")
+
+
 def judged(value: str, strict: bool) -> bool:
     if len(value) < 4 or PLACEHOLDER.match(value):
         return False
     return random_like(value) if strict else not wordy(value) and not value.isdigit() and not re.search(r"\s.*\s", value)
 
 
-def line_findings(line: str, before: str, layer: int, marked: bool = True) -> Iterator[Finding]:
+def line_findings(line: str, before: str, marked: bool = True) -> Iterator[Finding]:
     """Findings of one line; places are those of the line. marked: whether it has a mark, without which only forms and layers count."""
     for m in ISSUED.finditer(line):
         v = m.group()
         if not re.search(r"(?i)example|x{6,}|\*{3,}|(.)\1{7,}", v):
             yield Finding(m.start(), m.end(), m.lastgroup or "token")
-    if "-----BEGIN" in line or "PuTTY" in line:
-        for m in list(BLOCK.finditer(line)):
-            end = m.end() if m.group().startswith("PuTTY") else block_end(line, m.start())
-            yield Finding(m.start(), m.end(), "private_key")
-            line = line[: m.start()] + " " * (end - m.start()) + line[end:]  # what stands around the block is judged as well
     if "://" in line:
         for m in URL.finditer(line):
             v = m["secret"]
             if not PLACEHOLDER.match(v) and len(v) >= 4 and not (v.isalpha() and v.islower() and len(v) < 9) and not v.isdigit():
                 yield Finding(m.start("secret"), m.end("secret"), "connection")
-    if layer < LAYERS:
-        yield from encoded_findings(line, layer)
+    yield from encoded_findings(line)
     if not marked:
         return
     clean = line.replace('\\"', '"').replace("\\'", "'") if '\\"' in line or "\\'" in line else line
@@ -334,19 +354,20 @@ def noted(v: str) -> bool:
     return True
 
 
-def encoded_findings(line: str, layer: int) -> Iterator[Finding]:
+def encoded_findings(line: str) -> Iterator[Finding]:
+    """Findings in encoded pieces. Each layer is shorter by a quarter at least, so that decoding ends by itself."""
     for m in CARRIER.finditer(line):
         piece = m.group()
         if piece.isalpha():
             continue
         # base64 of text has a letter of each case; a plain word with hyphens doesn't decode to text
         for b in decoded(piece):
-            if kind := inside(b, layer):
+            kind = inside(b)
+            if kind and not (kind == "encoded" and _NO_SECRET.search(line, max(0, m.start() - 40), m.start())):
                 yield Finding(m.start(), m.end(), kind)
     if "%" in line:
         for m in PERCENT.finditer(line):
-            plain = unescape(m.group())
-            if plain != m.group() and next(scan(plain, layer + 1), None):
+            if PERCENTS.search(m.group()) and (plain := _settled(m.group(), unescape)) != m.group() and next(scan(plain), None):
                 yield Finding(m.start(), m.end(), "encoded")
     runs: list[tuple[int, int]] = []
     for run in ESCAPES.finditer(line):
@@ -361,16 +382,16 @@ def encoded_findings(line: str, layer: int) -> Iterator[Finding]:
         runs.append((max(start, runs[-1][1] if runs else 0), end))
     found = False
     for n, (start, end) in enumerate(runs):
-        piece = _plain(line[start:end])
+        piece = _settled(line[start:end], _plain)
         if piece == line[start:end]:
             continue
         before = line[runs[n - 1][1] if n else 0 : start]
         after = line[end : runs[n + 1][0] if n + 1 < len(runs) else len(line)]
-        inner = scan(before + piece + after, layer + 1)
+        inner = scan(before + piece + after)
         if f := next((f for f in inner if f.start < len(before) + len(piece) and f.end > len(before)), None):
             found = True
             yield Finding(start, end, f.kind)
-    if runs and not found and (plain := _plain(line)) != line and (f := next(scan(plain, layer + 1), None)):
+    if runs and not found and (plain := _settled(line, _plain)) != line and (f := next(scan(plain), None)):
         yield from (Finding(start, end, f.kind) for start, end in runs)  # only the parts together make a secret
 
 
@@ -381,6 +402,13 @@ def _plain(text: str) -> str:
     return unescape(re.sub(r"\\([0-3][0-7]{2})", lambda m: chr(int(m[1], 8)), text) if "\\" in text else text)
 
 
+def _settled(text: str, step: Callable[[str], str]) -> str:
+    """The text after as many steps as change it; each makes it shorter."""
+    while len(plain := step(text)) < len(text):
+        text = plain
+    return plain
+
+
 def _lines(text: str) -> Iterator[tuple[int, int, bool]]:
     """Start, end and whether a mark stands in it, of each line that may hold something, in the order of the text."""
     low = text.lower()
@@ -414,9 +442,6 @@ def _lines(text: str) -> Iterator[tuple[int, int, bool]]:
         yield start, *found[start]
 
 
-_CONTINUED = re.compile(r"([ \t]*(?:(?:#|//|--|\*|;|>)[ \t]*)?)([A-Za-z0-9+/_\-]+={0,2})[ \t]*\r?$")
-
-
 def _key_chars(piece: str) -> int | None:
     """How many characters an encoded private key takes by the length in its head; None if its head gives none."""
     hexed = re.fullmatch(r"[0-9a-fA-F]+", piece) is not None
@@ -428,34 +453,68 @@ def _key_chars(piece: str) -> int | None:
     return 2 * size if hexed else -(-size * 4 // 3)
 
 
-def wrapped_end(text: str, start: int, end: int) -> int:
-    """Where an encoded private key ends that begins in text[start:end] and may go on over unquoted lines.
+def key_pieces(text: str, at: int, closed: bool = True) -> list[tuple[int, int]]:
+    """The pieces of the key block or of the encoded key that begins at a place: its marks, headers and lines, without what stands between them.
 
-    Further lines have the same alphabet and one indentation; a shorter line, padding or the length in the
-    key's head ends them.
+    A block ends with its END line. Where that is missing, or where there is no
+    BEGIN line, lines of the key's alphabet belong to it until the length in its head is
+    reached, padding comes, or a line is shorter or longer than those before. A BEGIN line without a
+    key behind it (a test for such lines, say) gives nothing, unless the text ends there.
     """
-    stop = text.find("\n", end)
-    if stop < 0 or text[end:stop].strip(" \t\r") or not CARRIER.fullmatch(text[start:end]) or text[start:end].endswith("="):
-        return end
-    need, have, indent, width = _key_chars(text[start:end]), end - start, None, None
-    while need is None or have < need:
-        at = stop + 1
-        stop = text.find("\n", at)
-        stop = len(text) if stop < 0 else stop
-        m = _CONTINUED.match(text[at:stop])
-        if not m or indent is not None and m[1] != indent or width is not None and len(m[2]) > width:
+    begin, first = BLOCK.match(text, at), at
+    closed = closed and begin is not None  # lines of any length up to the END line
+    found, have, width, need = [], 0, 0, None
+    if begin:
+        found.append(begin.span())
+        at = begin.end()
+    while True:
+        start = KEY_GAP.match(text, at).end() if found else at
+        if begin and (m := BLOCK_END.match(text, start)):
+            return [*found, m.span()] if have else []
+        if begin and (m := KEY_HEADER.match(text, start)):
+            found.append(m.span())
+            at = m.end()
+            continue
+        m = KEY_LINE.match(text, start)
+        if not m or not begin and found and "\n" not in text[at:start] and not re.search(r"\\[nr]|[\"'`]", text[at:start]):
+            break
+        n = len(m.group())
+        closing = closed or begin and BLOCK_END.match(text, KEY_GAP.match(text, m.end()).end())
+        if not closing and (have and n > width or not have and n < 16 or have and n < width and begin):
             break
-        end, have = at + m.end(2), have + len(m[2])
-        if m[2].endswith("=") or width is not None and len(m[2]) < width or stop == len(text):
+        if need is None and not begin and not found:
+            need = _key_chars(m.group())
+        found.append(m.span())
+        at, have = m.end(), have + n
+        if not closing and (m.group().endswith("=") or width and n < width or need is not None and have >= need) and not (begin and need is None):
             break
-        indent, width = m[1], len(m[2])
-    return end
+        width = max(width, n)
+    if closed:
+        return key_pieces(text, first, False)
+    if begin and not have:
+        return found if not text[at:].strip(" \t\r\n\"'`,;)\\n") else []
+    return found
 
 
-def scan(text: str, layer: int = 0) -> Iterator[Finding]:
+def scan(text: str) -> Iterator[Finding]:
     """Findings of a text in any order; one place may come more than once."""
     if not maybe(text):
         return
+    if "-----BEGIN" in text or "PuTTY" in text:
+        rest, last = [], 0
+        for m in BLOCK.finditer(text):
+            if m.start() >= last and (parts := key_pieces(text, m.start())):
+                yield Finding(m.start(), parts[-1][1], "private_key")
+                for a, b in parts:  # what stands around the block is judged as well
+                    rest += [text[last:a], " " * (b - a)]
+                    last = b
+        text = "".join([*rest, text[last:]])
+    for a, b in wrapped(text):
+        joined = re.sub(r"[^A-Za-z0-9+/_\-=]+", "", _WRAP.sub("", text[a:b]))
+        for bytes_ in decoded(joined):
+            if kind := inside(bytes_):
+                yield Finding(a, b, kind)
+                text = text[:a] + re.sub(r"[^\n]", " ", text[a:b]) + text[b:]
     cuts: list[tuple[int, int]] = []  # place in the joined text, and how many characters were left out before it
     joined, last, gone = [], 0, 0
     if "\n" in text:
@@ -467,33 +526,62 @@ def scan(text: str, layer: int = 0) -> Iterator[Finding]:
     whole = "".join([*joined, text[last:]]) if cuts else text
     for at, end, marked in _lines(whole):
         before = whole[whole.rfind("\n", 0, max(at - 1, 0)) + 1 : at - 1] if at else ""
-        for f in line_findings(whole[at:end], before, layer, marked):
+        for f in line_findings(whole[at:end], before, marked):
             a, b = at + f.start, at + f.end
-            if f.kind == "private_key" and not BLOCK.match(whole, a):
-                b = wrapped_end(whole, a, b)
-            shift_a = max((g for p, g in cuts if p <= a), default=0)
-            shift_b = max((g for p, g in cuts if p < b), default=0)
-            yield Finding(a + shift_a, b + shift_b, f.kind)
+            a, b = a + max((g for p, g in cuts if p <= a), default=0), b + max((g for p, g in cuts if p < b), default=0)
+            if f.kind == "private_key" and (parts := key_pieces(text, a)):
+                b = max(b, parts[-1][1])
+            yield Finding(a, b, f.kind)
 
 
-def block_end(text: str, start: int) -> int:
-    """Where a key block that begins at start ends, its last line included; the end of the text if it is cut off."""
-    m = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----").search(text, start)
-    return m.end() if m else len(text)
+#: A line end inside wrapped base64, with the indentation and the comment mark of the next line.
+_WRAP = re.compile(r"[ \t]*\r?\n[ \t]*(?:(?:#|//|--|\*|;|>)[ \t]*)?")
+_WRAPPED = re.compile(r"(?m)(?<![^\s\"'`=:>|(])(?P<first>[A-Za-z0-9+/_\-]{40,})(?:[ \t]*\r?\n[ \t]*(?:(?:#|//|--|\*|;|>)[ \t]*)?[A-Za-z0-9+/_\-]{4,}={0,2}(?=[ \t]*\r?$|[\"'`,;)]))+")
+
+
+def wrapped(text: str) -> Iterator[tuple[int, int]]:
+    """Pieces of base64 that go on over unquoted lines of one width, the last of which may be shorter."""
+    if "\n" not in text:
+        return
+    for m in _WRAPPED.finditer(text):
+        at, width = m.end("first"), len(m["first"])
+        while g := _WRAP.match(text, at):
+            line = re.compile(r"[A-Za-z0-9+/_\-]+={0,2}").match(text, g.end())
+            if not line or len(line.group()) > width or line.end() > m.end():
+                break
+            at = line.end()
+            if len(line.group()) < width:
+                break
+        if at > m.end("first"):
+            yield m.start(), at
+
+
+def _pieces(text: str, f: Finding) -> list[tuple[int, int]]:
+    """What is redacted of a finding: all of it, but for quotes, joining marks, line ends and indentation inside."""
+    if f.kind == "private_key" and (parts := key_pieces(text, f.start)) and parts[-1][1] >= f.end:
+        return parts
+    found, at = [], f.start
+    for m in _INNER.finditer(text, f.start, f.end):
+        found.append((at, m.start()))
+        at = m.end()
+    return [*found, (at, f.end)]
+
+
+_INNER = re.compile(SEAM.pattern + "|" + _WRAP.pattern)
 
 
 def redact(text: str, found: list[Finding]) -> str:
-    """The text with a typed placeholder for each carrier; line breaks inside a carrier stay."""
+    """The text with a typed placeholder for each carrier. Line ends, and the quotes and marks between the literals of a carrier, stay."""
     out, last = [], 0
     for f in sorted(found):
-        end = block_end(text, f.start) if f.kind == "private_key" and text.startswith("-----", f.start) else f.end
-        if f.start < last:
-            if end > last:
-                last = end
-            continue
-        out.append(text[last : f.start])
-        out.append(f"REDACTED_{f.kind.upper()}" + "\n" * text.count("\n", f.start, end))
-        last = end
+        named = False
+        for a, b in _pieces(text, f):
+            if b <= last or a == b:
+                continue
+            out.append(text[last : max(a, last)])
+            if not named and a >= last:
+                out.append(f"REDACTED_{f.kind.upper()}")
+            named, last = True, b
     return "".join([*out, text[last:]])
 
 

@@ -1,5 +1,7 @@
 """Credentials: forms, layers, containers, what is none, redaction and odd inputs."""
 
+import ast
+import random
 import base64
 
 import pytest
@@ -109,4 +111,79 @@ def test_a_line_is_judged_to_its_end():
 )
 def test_every_pattern_is_reached(line):
     """What the patterns find in a line, they find in a text as well."""
-    assert list(S.line_findings(line, "", 0)) and S.maybe(line) and list(S.scan(f"one\n{line}\ntwo\n"))
+    assert list(S.line_findings(line, "")) and S.maybe(line) and list(S.scan(f"one\n{line}\ntwo\n"))
+
+
+def _der(tag: int, body: bytes) -> bytes:
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8)
+    return bytes([tag]) + size + body
+
+
+def _rsa(rng) -> bytes:
+    numbers = [b"\0", b"\x7f" + rng.randbytes(127), b"\x01\0\x01", *[b"\x55" + rng.randbytes(63) for _ in range(6)]]
+    return _der(0x30, b"".join(_der(2, x) for x in numbers))
+
+
+def _wrapped(rng, width=64) -> tuple[str, list[str]]:
+    key = base64.b64encode(_rsa(rng)).decode()
+    return key, [key[i : i + width] for i in range(0, len(key), width)]
+
+
+def _clean(text: str) -> str:
+    return S.redact(text, sorted(set(S.scan(text))))
+
+
+def test_a_begin_line_without_a_key_is_none_and_nothing_is_erased():
+    code = 'def f(line):\n    if line.startswith("-----BEGIN RSA PRIVATE KEY-----"):\n        return 1\n    return 2\n'
+    assert _clean(code) == code
+
+
+def test_redaction_keeps_code_valid_and_takes_whole_keys():
+    rng = random.Random(3)
+    key, lines = _wrapped(rng)
+    pem = ["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----"]
+    for literals in ([f'"{x}\\n"' for x in pem], [f'"{x}"' for x in lines]):
+        for joint in ("\n    ", " +\n    "):
+            code = "KEY = (\n    " + joint.join(literals) + "\n)\nrest = 1\n"
+            out = _clean(code)
+            ast.parse(out)
+            assert out.count("\n") == code.count("\n") and out.endswith("rest = 1\n") and not any(x[:12] in out for x in lines)
+    for before, indent in (("tls.key: |\n", "  "), ("", ""), ("# key\n", "# ")):
+        text = before + "".join(f"{indent}{x}\n" for x in lines) + "other: 1\n"
+        out = _clean(text)
+        assert out.endswith("other: 1\n") and out.count("\n") == text.count("\n") and not any(x[:12] in out for x in lines)
+    cut = "A\n" + "\n".join(pem[:9]) + "\n\ndef foo():\n    pass\n"
+    assert _clean(cut).endswith("\n\ndef foo():\n    pass\n") and not any(x[:12] in _clean(cut) for x in lines[:8])
+
+
+def test_lengths_have_no_bound():
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefXYZ0123456789!") for _ in range(9000))
+    assert _clean(f'password = "{long}"\n') == 'password = "REDACTED_PASSWORD"\n'
+    big = base64.b64encode(b"x" * 90_000 + b'\npassword = "Zx81kQpT44wq"\n').decode()
+    assert big not in _clean(f'data = "{big}"\n')
+    deep = b'password = "Zx81kQpT44wq"'
+    for _ in range(12):
+        deep = base64.b64encode(deep)
+    assert deep.decode() not in _clean(f'x = "{deep.decode()}"\n')
+    name = "a_" * 60 + "password"
+    assert "Zx81kQpT44wq" not in _clean(f'{name} = "Zx81kQpT44wq"')
+
+
+def test_wide_letters_inside_base64_and_check_values():
+    wide = base64.b64encode('$password = "Zx81kQpT44wq"'.encode("utf-16-le")).decode()
+    assert wide not in _clean(f"powershell -enc {wide}\n")
+    tag = base64.b64encode(b"Build20240131xA").decode()
+    assert not list(S.scan(f'etag = "{tag}"\n'))
+
+
+def test_grammar_checks_lengths_to_the_end():
+    rng = random.Random(5)
+    key = _rsa(rng)
+    assert S.private_container(key, whole=True) and S.private_container(key[:48]) and not S.private_container(key[:48], whole=True)
+    assert not S.private_container(key + b"\0") and not S.private_container(key[:4] + _der(2, b"\0") + rng.randbytes(len(key) - 7))
+    ec = _der(0x30, _der(2, b"\x01") + _der(4, rng.randbytes(32)) + _der(0xA0, _der(6, b"\x2a\x86\x48")))
+    assert S.private_container(ec, whole=True)
+    pkcs8 = _der(0x30, _der(2, b"\0") + _der(0x30, _der(6, b"\x2a\x86\x48\x86")) + _der(4, key))
+    assert S.private_container(pkcs8, whole=True)
