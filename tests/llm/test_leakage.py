@@ -1,5 +1,6 @@
 """Leaked passages against a brute-force search, edits, disguises and odd inputs."""
 
+import os
 import random
 
 import numpy as np
@@ -23,13 +24,34 @@ def table(spark, docs, items):
 
 def test_ranks_order_suffixes():
     rng = np.random.default_rng(1)
-    seq = np.concatenate([rng.integers(1, 4, 400), np.zeros(5, np.int64)])
-    for depth in (1, 2, 3, 5):
-        rank = leakage.suffix_ranks(seq, depth)
-        keys = [tuple(seq[i : i + depth]) for i in range(400)]
-        order = {k: r for r, k in enumerate(sorted(set(keys)))}
-        got = [order[k] for k in keys]
-        assert [sorted(set(rank[:400])).index(r) for r in rank[:400]] == got
+    for letters, n in ((4, 400), (2, 300), (30, 500)):
+        seq = np.concatenate([rng.integers(0, letters, n), [0]])
+        rank = leakage.suffix_ranks(seq)
+
+        def suffix(i):
+            return tuple(seq[i : i + list(seq[i:]).index(0)])
+
+        keys = [suffix(i) for i in range(len(seq))]
+        assert [sum(k < own for k in keys) for own in keys] == list(rank)
+        a, b = rng.integers(0, len(seq), (2, 200))
+        assert [len(os.path.commonprefix([keys[x], keys[y]])) for x, y in zip(a, b)] == list(leakage.common(seq, a, b))
+
+
+def test_a_stretch_has_a_seed_whatever_is_changed():
+    rng = random.Random(2)
+    for least in range(1, 21):
+        for _ in range(200):
+            changed = set(rng.sample(range(least), leakage.changes_of(least)))
+            runs = "".join("x" if k in changed else "." for k in range(least)).split("x")
+            assert max(map(len, runs)) >= leakage.seed_of(least)
+
+
+def test_long_items_and_changed_short_questions(spark):
+    long = made(30_000, 50)
+    docs = [(1, "ok how does the blue cache expire its entries then"), (2, " ".join(["zz", *long, "zz"])), (3, "how does a big blue cache ever expire any"), (4, " ".join(long[700:719]))]
+    d, i = table(spark, docs, [(7, "how does the green cache expire its entries", None), (8, "something else entirely", " ".join(long))])
+    got = {(r.doc_id, r.item_id): (r.longest_match, r.doc_word, r.item_word) for r in leakage.leaks(d, i).collect()}
+    assert got == {(1, 7): (4, 5, 4), (2, 8): (30_000, 1, 0)}
 
 
 def test_planted_passages_and_nothing_else(spark):
