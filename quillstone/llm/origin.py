@@ -5,9 +5,13 @@ compression ratio, entropy of the words, lengths of identifiers, density of
 comments and literals, and the shape of the lines. Its labels are header notices:
 those of generators and bundlers for machine-made files, those of the project's
 own team for hand-written ones. The notices are cut off before the figures are
-taken. Copies of third-party files look as if written by hand; they are told by
-their notices and by equal bodies: a body that stands in several projects, or
-that has a third party's notice in any copy, is a third party's in all of them.
+taken, and only the votes over the figures tell such files: a notice alone makes none.
+
+Copies of third-party files look as if written by hand, so that no figure tells them;
+they are a second stage. A body that stands in several projects, or that has a third
+party's notice in any copy, is a third party's in all of them, and so is what
+lies in the folder of a library that such a notice names. Data saved as code is told
+by a rule over the same figures.
 
 The figures are taken in one pass over the files and written to the shared
 folder; all that follows works on a few numbers a file.
@@ -37,11 +41,8 @@ FIT_ROWS = 4000
 TREES, DEPTH, SEED = 40, 6, 17
 #: Share of the trees' votes from which a file counts as machine-made.
 VOTES = 0.5
-#: Labelled rows of each class without which no forest is fitted; notices and copies still tell.
-LEAST_LABELS = 15
-#: Characters without white space from which on equal bodies count as copies.
+#: Characters without white space from which on equal bodies in several projects are copies and no coincidence. With a third party's notice any body counts.
 COPY_CHARS = 200
-HEAD_CHARS = 2000
 
 GENERATED = re.compile(
     r"(?i)(?:^|\W)(?:@generated\b|<auto-?generated|(?:auto(?:matically)?|code|file|source)?[ -]?generated (?:by|from|with|using|automatically|on)\b|autogenerated|auto-generated|this (?:file|code|class) (?:was|is|has been) (?:written|created|generated|produced|emitted|built) (?:automatically|by (?:a|the) \w+)"
@@ -70,7 +71,7 @@ def notices(text: str) -> tuple[str, str]:
     at = 0
     head: list[str] = []
     block = False
-    while at < len(lines) and len(head) < 40:
+    while at < len(lines):
         line = lines[at].strip()
         if block:
             head.append(line)
@@ -93,7 +94,6 @@ def notices(text: str) -> tuple[str, str]:
 
 def notice_kind(head: str) -> str | None:
     """What the header of a file says about it: 'generated', 'third', 'banner', 'own' or nothing."""
-    head = head[:HEAD_CHARS]
     if not head:
         return None
     for line in head.split("\n"):
@@ -181,14 +181,13 @@ def measured(files: DataFrame, key: str = "file_id") -> DataFrame:
 
 
 def fitted(rows: DataFrame):
-    """A forest fitted on a bounded sample of labelled rows, or None if there are too few of a class."""
+    """A forest fitted on a bounded sample of labelled rows, or None if no row of one of the classes has a label."""
     label = F.when(F.col("notice").isin("generated", "banner"), 1.0).when(F.col("notice") == "own", 0.0)
     labelled = rows.where(F.col("notice").isin("generated", "banner", "own")).withColumn("label", label)
     order = F.xxhash64("file_id")
     parts = [labelled.where(F.col("label") == y).orderBy(order, "file_id").limit(FIT_ROWS) for y in (0.0, 1.0)]
     sample = parts[0].unionByName(parts[1]).select("label", *FIGURES).coalesce(1)
-    sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < LEAST_LABELS:
+    if sample.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features", subsamplingRate=0.8)
     return forest.fit(VectorAssembler(inputCols=FIGURES, outputCol="features").transform(sample))
@@ -199,16 +198,19 @@ def scored(files: DataFrame, key: str = "file_id") -> DataFrame:
     rows = written(measured(files, key), "origin")
     model = fitted(rows)
     if model is None:
-        voted = rows.withColumn("votes", F.lit(0.0))
+        voted = rows.withColumn("votes", F.coalesce(F.col("notice").isin("generated", "banner"), F.lit(False)).cast("double"))
     else:
         voted = model.transform(VectorAssembler(inputCols=FIGURES, outputCol="features").transform(rows)).withColumn("votes", vector_to_array("probability")[1])
     voted = voted.withColumn("data", data_like({c: F.col(c) for c in FIGURES}))
-    third = F.col("notice").isin("third", "banner")
-    groups = rows.where(F.col("chars") >= COPY_CHARS).groupBy("body").agg((F.min("project") != F.max("project")).alias("spread"), F.max(F.coalesce(third, F.lit(False))).alias("marked"))
-    copied = groups.where("spread or marked").select("body", F.lit(True).alias("copied"))
+    third = F.coalesce(F.col("notice").isin("third", "banner"), F.lit(False))
+    groups = rows.where("chars > 0").groupBy("body").agg((F.min("project") != F.max("project")).alias("spread"), F.max(third).alias("marked"), F.max("chars").alias("n"))
+    copied = groups.where(F.col("marked") | (F.col("spread") & (F.col("n") >= COPY_CHARS))).select("body", F.lit(True).alias("copied"))
     # a library is a third party's if any file says so
     libraries = rows.where(third & F.col("library").isNotNull()).select("library").distinct().withColumn("foreign", F.lit(True))
-    out = voted.select("file_id", "notice", "votes", "data", "body", "library").join(copied, "body", "left").join(libraries, "library", "left")
+    # rows that can match nothing get keys of their own, so that they don't meet in one task
+    own = F.concat(F.lit("-"), F.coalesce(F.col("file_id").cast("string"), F.lit("")))
+    keyed = voted.select("file_id", "notice", "votes", "data", F.when(F.col("chars") > 0, F.col("body")).otherwise(own).alias("body"), F.coalesce("library", own).alias("library"))
+    out = keyed.join(copied, "body", "left").join(libraries, "library", "left")
     return out.select("file_id", "notice", "votes", "data", F.coalesce("copied", F.lit(False)).alias("copied"), F.coalesce("foreign", F.lit(False)).alias("foreign"))
 
 
@@ -216,11 +218,10 @@ def not_hand_written(files: DataFrame, key: str = "file_id") -> DataFrame:
     """(file_id): code and script files that were generated, minified, copied from a third party, or are data saved as code.
 
     Files of other types give no row, nor do rows with a null key. A null or
-    empty content is hand-written unless a copy or a notice says otherwise. A
-    file whose header is its own project's notice is taken for hand-written
-    unless the forest or the data rule tells it apart. Repeated rows of a file
-    count once. Extra columns are ignored. An empty table gives an empty table.
+    empty content is hand-written unless a library's folder says otherwise. Where
+    no file has a notice of one of the two kinds, no forest can be fitted and only
+    the labelled files have a vote, that of their label; data and copies still come out. Repeated rows of a file count once.
+    Extra columns are ignored. An empty table gives an empty table.
     """
     found = scored(files, key)
-    machine = F.col("notice").isin("generated", "banner", "third") | (F.col("votes") >= VOTES) | F.col("data")
-    return found.where(F.coalesce(machine, F.lit(False)) | (F.col("votes") >= VOTES) | F.col("data") | F.col("copied") | F.col("foreign")).select("file_id").distinct()
+    return found.where((F.col("votes") >= VOTES) | F.coalesce("data", F.lit(False)) | F.col("copied") | F.col("foreign")).select("file_id").distinct()
