@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.functions.rules import BRANCH_FORM, DOC_FORM, PUBLIC_FORM, TAGS, TEST_FORM, TODO_FORM
+from quillstone.functions.rules import BRANCH_FORM, COMPLEXITY_COLOURS, DOC_FORM, PUBLIC_FORM, TAGS, TEST_FORM, TODO_FORM
 
 STOP_WORDS = (
     "the a an is it in on at to for of and or but with this that are was were be been have has had do does did will would could should may might i you he she we they"
@@ -78,6 +78,14 @@ def band(score: Column) -> Column:
     return out
 
 
+def colour(score: Column) -> Column:
+    """The colour of a complexity score; null for null."""
+    out = F.when(score.isNull(), F.lit(None).cast("string"))
+    for bound, name in COMPLEXITY_COLOURS[:-1]:
+        out = out.when(score < bound, F.lit(name))
+    return out.otherwise(F.lit(COMPLEXITY_COLOURS[-1][1]))
+
+
 def word_set(text: Column) -> Column:
     """The distinct words, in lower case, of more than two characters that aren't stop words; none for null."""
     words = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z_][\p{L}\p{N}_]*"), F.lit(0)), F.lower)

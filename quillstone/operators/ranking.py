@@ -7,16 +7,35 @@ from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """One row of each key, that of the greatest ``by``; of equal ones any.
+    """One row of each key, that of the greatest ``by``; of equal ones that of the greatest hash of its columns.
 
     An aggregation, so that repeated rows of a hot key are merged before the
     shuffle. Null keys are a key of their own; rows with a null ``by`` yield to others.
+    The rows travel whole: for wide ones there is ``latest_wide``.
     """
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.coalesce(F.col(by).cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp"))) if by else F.first(F.struct(*rest))
+    plain = [c for c, kind in df.dtypes if c in rest and "map<" not in kind]
+    order = F.struct(F.coalesce(F.col(by).cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp")), F.xxhash64(*plain))
+    best = F.max_by(F.struct(*rest), order)
     return df.groupBy(*keys).agg(best.alias("__r")).select(*keys, *[F.col("__r")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def latest_wide(df: DataFrame, keys: list[str], by: str, most: int = 200_000) -> DataFrame:
+    """What ``latest`` gives, for rows too wide to be shuffled.
+
+    The keys that come more than once are counted first, on the key columns alone.
+    If there are ``most`` of them at most, they travel to the tasks: rows of all
+    other keys stay where they are, and only those of these keys are shuffled. If
+    there are more, all rows are.
+    """
+    again = df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*[F.col(k).alias(f"__again_{k}") for k in keys])
+    if again.limit(most + 1).count() > most:
+        return latest(df, keys, by)
+    few = F.broadcast(again)  # ``most`` keys at most, as counted
+    same = [df[k].eqNullSafe(F.col(f"__again_{k}")) for k in keys]
+    return df.join(few, same, "left_anti").unionByName(latest(df.join(few, same, "left_semi"), keys, by))
+
+
 def _bucketed(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
     return df.withColumn("__bucket", F.floor(F.col(order) / width).cast("long"))
 

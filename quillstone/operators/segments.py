@@ -72,12 +72,14 @@ def _windows(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def spans(text: str, kind: str) -> list[tuple[int, int]]:
-    """The spans of a text cut by its strategy."""
+def spans(text: str, kind: str, alike: list[float] | None = None) -> list[tuple[int, int]]:
+    """The spans of a text cut by its strategy. ``alike``: similarities of neighbouring sentences, which cut documents without headings."""
     if kind == "data":
         return [(0, len(text))]
     if kind == "doc":
         heads = [m.start() for m in _HEADING.finditer(text)]
+        if not heads and alike is not None:
+            return similarity_spans(text, alike)
         return _cut(text, heads or [m.start() for m in _BLANK.finditer(text)])
     if kind == "code":
         found = [m.start() for m in _DEFINITION.finditer(text)]
@@ -86,18 +88,63 @@ def spans(text: str, kind: str) -> list[tuple[int, int]]:
     return _windows(text)
 
 
+def _made(text: str | None, kind: str, key: str | None, alike: list[float] | None = None) -> list[dict]:
+    made = []
+    for n, (a, b) in enumerate(spans(text or "", kind, alike), 1):
+        if body := (text or "")[a:b].strip():
+            made.append({"text": body, "start_char": a, "end_char": b, "segment_id": f"{key or ''}__seg_{n}"})
+    return made
+
+
 @arrow(SEGMENTS)
 def segments(texts: pd.Series, kinds: pd.Series, ids: pd.Series) -> pd.Series:
     """The segments of each text with their places; blank ones are left out, but their numbers stay. None for null."""
+    return pd.Series([_made(*row) for row in zip(texts, kinds, ids)])
+
+
+@arrow(SEGMENTS)
+def alike_segments(texts: pd.Series, kinds: pd.Series, ids: pd.Series, alike: pd.Series) -> pd.Series:
+    """As ``segments``, but documents without headings are cut where neighbouring sentences differ."""
+    return pd.Series([_made(t, k, i, list(a) if a is not None else []) for t, k, i, a in zip(texts, kinds, ids, alike)])
+
+
+#: Fixed value: where a sentence ends.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])"
+
+
+def sentences(text: Column) -> Column:
+    return F.split(text, SENTENCE_END)
+
+
+def term_similarity(a: Column, b: Column) -> Column:
+    """The cosine of two texts' sets of words in lower case; 0 where one has none."""
+    words = [F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))) for c in (a, b)]
+    sizes = F.sqrt(F.size(words[0]).cast("double") * F.size(words[1]))
+    return F.when(sizes > 0, F.size(F.array_intersect(*words)) / sizes).otherwise(F.lit(0.0))
+
+
+def neighbour_similarities(parts: Column, similarity=term_similarity) -> Column:
+    """The similarity of each sentence and the next; one fewer than there are sentences. ``similarity`` is a function of two columns."""
+    next_ = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    heads = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.zip_with(heads, next_, similarity)
+
+
+def similarity_cuts(text: Column, threshold: float = 0.75, similarity=term_similarity) -> Column:
+    """array<struct<start_char, end_char>>: spans of sentences cut where neighbours are less alike than the threshold.
+
+    Fewer than three sentences are one span. A gap between sentences counts as one
+    character, whatever stands in it. Null for null.
+    """
 
-    def one(text: str | None, kind: str, key: str | None) -> list[dict]:
-        made = []
-        for n, (a, b) in enumerate(spans(text or "", kind), 1):
-            if body := (text or "")[a:b].strip():
-                made.append({"text": body, "start_char": a, "end_char": b, "segment_id": f"{key or ''}__seg_{n}"})
-        return made
+    def cut(parts: Column) -> Column:
+        alike = neighbour_similarities(parts, similarity)
+        ends = F.transform(parts, lambda x, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda n, p: n + F.length(p) + 1))
+        inner = F.filter(F.transform(alike, lambda s, i: F.when(s < threshold, F.element_at(ends, i + 1))), lambda x: x.isNotNull())
+        edges = F.when(F.size(parts) < 3, F.array(F.lit(0), F.length(text))).otherwise(F.concat(F.array(F.lit(0)), inner, F.array(F.length(text))))
+        return F.zip_with(F.slice(edges, F.lit(1), F.size(edges) - 1), F.slice(edges, F.lit(2), F.size(edges) - 1), lambda a, b: F.struct(a.alias("start_char"), b.alias("end_char")))
 
-    return pd.Series([one(*row) for row in zip(texts, kinds, ids)])
+    return F.transform(F.array(sentences(text)), cut)[0]
 
 
 def similarity_spans(text: str, alike: list[float], threshold: float = 0.75) -> list[tuple[int, int]]:
@@ -106,7 +153,7 @@ def similarity_spans(text: str, alike: list[float], threshold: float = 0.75) ->
     ``alike`` has the similarity of each sentence and the next one. Sentences end
     at a full stop before a capital letter; fewer than three are one span.
     """
-    gaps = [m.end() for m in re.finditer(r"(?<=[.!?])\s+(?=[A-Z])", text)]
+    gaps = [m.end() for m in re.finditer(SENTENCE_END, text)]
     if len(gaps) < 2:
         return [(0, len(text))]
     cuts = [g for g, s in zip(gaps, alike) if s < threshold]

@@ -9,13 +9,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.arrow import arrow
+from quillstone.plans.shared import written
+from quillstone.sources.blocks import read_blocks, write_blocks
 
-#: Query vectors that travel to the tasks at once.
-BLOCK = 2048
+#: Query vectors that a task compares at once, and rows of the collection that it holds meanwhile.
+BLOCK, HELD = 2048, 65536
 
 
 def norm(c: Column) -> Column:
@@ -82,69 +84,82 @@ def term_embedding(vocabulary: list[tuple[str, float]]):
     return embed
 
 
-def search(collection: DataFrame, queries: DataFrame, k: int = 3, key: str = "id", vector: str = "vec", query: str = "qid", group: str | None = None, least: float | None = None) -> DataFrame:
+def search(collection: DataFrame, queries: DataFrame, k: int = 3, key: str = "id", vector: str = "vec", query: str = "qid", group: str | list[str] | None = None, least: float | None = None) -> DataFrame:
     """(qid, id, distance, rank): for each query its k nearest rows by cosine distance, exactly, ties by the smaller id.
 
-    Queries travel to the tasks in blocks of ``BLOCK``; each task keeps the k best
-    of its own rows for each query, so that rows times k at most are shuffled. With
-    ``group`` only rows of the query's group count. Vectors of another length than
-    the query's, and unusable ones, are never found; unusable queries find nothing.
+    Queries are written to the shared folder; each task reads them in blocks of
+    ``BLOCK`` for every ``HELD`` rows of its own, and keeps the k best of its rows for
+    each query, so that rows times k at most are shuffled. With ``group`` only rows
+    that are equal to the query in these columns count. Vectors of another length
+    than the query's, and unusable ones, are never found; unusable queries find nothing.
     """
-    g = [group] if group else []
-    asked = queries.where(usable(F.col(vector))).select(F.col(query).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("vec"), *[F.col(c).cast("string").alias("grp") for c in g])
-    blocks = 1 + (asked.count() - 1) // BLOCK if asked.head(1) else 0
-    rows = collection.where(usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"), *[F.col(c).cast("string").alias("grp") for c in g])
-    found = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect() if blocks > 1 else asked.collect()
-        mine = rows.mapInArrow(_best([r.asDict() for r in part], k, bool(g)), "qid long, id long, distance double")
-        found = mine if found is None else found.unionByName(mine)
-    if found is None:
-        return collection.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
+    group = [group] if isinstance(group, str) else group
+    own = F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in group]) if group else F.lit("")
+    asked = queries.where(usable(F.col(vector))).select(F.col(query).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("vec"), own.alias("grp"))
+    rows = collection.where(usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"), own.alias("grp"))
+    found = rows.mapInArrow(_best(write_blocks(asked, "queries"), k), "qid long, id long, distance double")
     best = Window.partitionBy("qid").orderBy("distance", "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked if least is None else ranked.where(F.col("distance") <= 1 - least)
 
 
-def _best(queries: list[dict], k: int, grouped: bool):
-    lengths: dict[int, list[dict]] = {}
-    for q in queries:
-        lengths.setdefault(len(q["vec"]), []).append(q)
-    asked = {}
-    for n, qs in lengths.items():
-        m = np.array([q["vec"] for q in qs])
-        asked[n] = (np.array([q["qid"] for q in qs], np.int64), m / np.linalg.norm(m, axis=1, keepdims=True), np.array([q.get("grp") or "" for q in qs], object))
+def _units(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, unit vectors and groups of a batch (id, vec, grp), for each length that occurs."""
+    ids, vec, groups = batch.column(0).to_numpy(), batch.column(1), np.array(batch.column(2).to_pylist(), object)
+    sizes = vec.value_lengths().to_numpy(zero_copy_only=False)
+    flat, starts = vec.values.to_numpy(zero_copy_only=False), vec.offsets.to_numpy()[:-1]
+    for n in np.unique(sizes):
+        at = np.nonzero(sizes == n)[0]
+        x = flat[starts[at][:, None] + np.arange(n)]
+        yield ids[at], x / np.linalg.norm(x, axis=1, keepdims=True), groups[at]
 
+
+def _best(folder: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: distances and ids of the k best of each query so far
+        kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by block and length: queries, and the distances and ids of the best so far
+
+        def meet(held: list[pa.RecordBatch]) -> None:
+            mine: dict[int, list] = {}
+            for batch in held:
+                for part in _units(batch):
+                    mine.setdefault(part[1].shape[1], []).append(part)
+            merged = {n: tuple(np.concatenate(c) for c in zip(*parts)) for n, parts in mine.items()}
+            for block, (_, queries) in enumerate(read_blocks(folder, BLOCK)):
+                for qids, m, qg in _units(queries):
+                    n = m.shape[1]
+                    if n not in merged:
+                        continue
+                    ids, x, groups = merged[n]
+                    for a in range(0, len(ids), 2048):
+                        d = 1 - m @ x[a : a + 2048].T
+                        d[qg[:, None] != groups[a : a + 2048][None, :]] = np.inf
+                        own = np.broadcast_to(ids[a : a + 2048], d.shape)
+                        if (block, n) in kept:
+                            d, own = np.concatenate([kept[block, n][1], d], axis=1), np.concatenate([kept[block, n][2], own], axis=1)
+                        order = np.lexsort((own, d), axis=1)[:, :k]
+                        kept[block, n] = qids, np.take_along_axis(d, order, 1), np.take_along_axis(own, order, 1)
+
+        held, count = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            vec = batch.column(1)
-            sizes = vec.value_lengths().to_numpy(zero_copy_only=False)
-            flat, starts = vec.values.to_numpy(zero_copy_only=False), vec.offsets.to_numpy()[:-1]
-            groups = np.array(batch.column(2).to_pylist(), object) if grouped else None
-            for n, (_, m, qg) in asked.items():
-                at = np.nonzero(sizes == n)[0]
-                for part in np.array_split(at, max(1, len(at) // 2000)) if len(at) else ():
-                    x = flat[starts[part][:, None] + np.arange(n)]
-                    d = 1 - m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                    if groups is not None:
-                        d[qg[:, None] != groups[part][None, :]] = np.inf
-                    own = np.broadcast_to(ids[part], d.shape)
-                    if n in kept:
-                        d, own = np.concatenate([kept[n][0], d], axis=1), np.concatenate([kept[n][1], own], axis=1)
-                    order = np.lexsort((own, d), axis=1)[:, :k]
-                    kept[n] = np.take_along_axis(d, order, 1), np.take_along_axis(own, order, 1)
-        for n, (d, own) in kept.items():
-            q = np.repeat(asked[n][0], d.shape[1])
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= HELD:
+                meet(held)
+                held, count = [], 0
+        if held:
+            meet(held)
+        for qids, d, own in kept.values():
             fine = np.isfinite(d.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(q[fine]), pa.array(own.ravel()[fine]), pa.array(d.ravel()[fine])], ["qid", "id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, d.shape[1])[fine]), pa.array(own.ravel()[fine]), pa.array(d.ravel()[fine])], ["qid", "id", "distance"])
 
     return run
 
 
 # --- re-ranking by a small network ----------------------------------------------------------------------------
 HIDDEN = (256, 128, 64)
+#: Tasks that add up the gradients of all others.
+SUMS = 16
 
 
 def new_network(inputs: int, seed: int = 7) -> list[np.ndarray]:
@@ -191,15 +206,19 @@ def train(examples: DataFrame, inputs: int, steps: int = 8, rate: float = 0.001,
     """A network fitted to rewards (columns qvec, vec, reward) by Adam on the mean squared error, and the error before each step.
 
     Each step sends the weights to the tasks and adds up the gradients of all
-    examples; what comes back to the driver has the size of the network for each
-    task and doesn't grow with the examples. Without examples the network stays new.
+    examples, first in each task and then in ``SUMS`` tasks; what comes back to the
+    driver is that many gradients at most, of the network's size, however many
+    examples and tasks there are. The examples are computed once and written to the shared folder. Without
+    examples the network stays new.
     """
     net = new_network(inputs, seed)
     m, v, errors = [np.zeros_like(w) for w in net], [np.zeros_like(w) for w in net], []
     half = inputs // 2
-    rows = examples.where((F.size("qvec") == half) & (F.size("vec") == half) & F.col("reward").isNotNull()).select("qvec", "vec", F.col("reward").cast("double").alias("reward"))
+    known = examples.where((F.size("qvec") == half) & (F.size("vec") == half) & F.col("reward").isNotNull()).select("qvec", "vec", F.col("reward").cast("double").alias("reward"))
+    rows = written(known, "examples")
     for step in range(1, steps + 1):
-        parts = rows.mapInArrow(_gradients(net, inputs), "n long, error double, gradient binary").collect()
+        parts = rows.mapInArrow(_gradients(net, inputs), "n long, error double, gradient binary").where("n > 0").repartition(SUMS).mapInArrow(_summed, "n long, error double, gradient binary").collect()
+        parts.sort(key=lambda p: bytes(p.gradient))  # one order of the sum, whatever the tasks'
         n = sum(p.n for p in parts)
         if not n:
             break
@@ -214,6 +233,27 @@ def train(examples: DataFrame, inputs: int, steps: int = 8, rate: float = 0.001,
     return net, errors
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, error, total = 0, 0.0, None
+    for b in batches:
+        for k, e, g in zip(*(c.to_pylist() for c in b.columns)):
+            n, error = n + k, error + e
+            total = np.frombuffer(g).copy() if total is None else total + np.frombuffer(g)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([error]), pa.array([total.tobytes()], pa.binary())], ["n", "error", "gradient"])
+
+
+def save_network(spark: SparkSession, net: list[np.ndarray], path: str) -> None:
+    """Writes a network as a table of its layers, in place of what is there."""
+    rows = [(k, list(w.shape), [float(x) for x in w.ravel()]) for k, w in enumerate(net)]
+    spark.createDataFrame(rows, "layer int, shape array<int>, weights array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_network(spark: SparkSession, path: str) -> list[np.ndarray]:
+    """A network as it was saved; of a fixed, small number of layers."""
+    return [np.array(r.weights).reshape(r.shape) for r in spark.read.parquet(path).orderBy("layer").collect()]
+
+
 def _gradients(net: list[np.ndarray], inputs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, error = [np.zeros_like(w) for w in net], 0, 0.0

@@ -13,6 +13,8 @@ from quillstone.sources.records import indexable
 from quillstone.sources.tables import read_table
 
 DIMENSION = 64
+#: The log doesn't name the model of its query vectors; only vectors of this one are compared with them.
+MODEL = "mini-64"
 
 
 @query(
@@ -61,7 +63,7 @@ def log(spark: SparkSession, root: str) -> DataFrame:
 
 
 def collection(spark: SparkSession, root: str) -> DataFrame:
-    n = indexable(nlp(spark, root), DIMENSION)
+    n = indexable(nlp(spark, root), DIMENSION).where(F.col("embedding_model") == MODEL)
     return n.select(F.col("chunk_key").alias("id"), F.lower("project").alias("project"), F.col("embedding").alias("vec"), "source_file", "content")
 
 
@@ -71,9 +73,25 @@ def hits(spark: SparkSession, root: str, k: int) -> DataFrame:
     return vectors.search(collection(spark, root), asked, k, group="project")
 
 
-@query()
+_LOG = (
+    "x AS (SELECT * FROM experiences WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1),"
+    " g AS (SELECT id, lower(trim(project_name)) AS project, reward, query, CASE WHEN json_valid(selected_chunk_ids) THEN list_distinct(list_filter(json_extract_string(selected_chunk_ids, '$[*]'), lambda v: v IS NOT NULL)) END AS ids FROM x)"
+)
+_ASKED = (
+    "x AS (SELECT * FROM experiences WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1),"
+    " a AS (SELECT id AS qid, lower(trim(project_name)) AS project, CASE WHEN json_valid(query_vector) THEN TRY_CAST(query_vector AS DOUBLE[]) END AS v FROM x WHERE id % 20 = 0)"
+)
+_HITS = (
+    f"{_ASKED}, {ONCE['n']}, i AS (SELECT chunk_key AS id, lower(project) AS project, embedding::DOUBLE[] AS e, source_file, content FROM n WHERE embedding_model = '{MODEL}' AND len(embedding) = {DIMENSION} AND trim(coalesce(cleaned_text, content)) <> ''"
+    " AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),"
+    f" h AS (SELECT qid, id, 1 - list_cosine_similarity(v, e) AS distance, source_file, content FROM a JOIN i USING (project) WHERE len(v) = {DIMENSION} AND len(list_filter(v, lambda y: y IS NULL)) = 0 AND len(list_filter(v, lambda y: y <> 0)) > 0),"
+    " k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INTEGER AS rank FROM h QUALIFY rank <= 3)"
+)
+
+
+@query(f"WITH {_HITS} SELECT qid, id, round(distance, 5) AS distance, rank FROM k")
 def retrieve_top3(spark, root):
-    return hits(spark, root, 3)
+    return hits(spark, root, 3).withColumn("distance", F.round("distance", 5))
 
 
 def candidate_pairs(spark: SparkSession, root: str) -> DataFrame:
@@ -96,19 +114,16 @@ def qnet_train(spark, root):
     return spark.createDataFrame([(k, float(e)) for k, e in enumerate(errors, 1)], "step int, error double")
 
 
-@query()
+@query(
+    f"WITH {_HITS} SELECT qid, string_agg('--- SOURCE ' || rank || ': ' || coalesce(source_file, '') || ' ---' || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY rank) AS context,"
+    " array_to_string(list_sort(list_distinct(list(list_extract(string_split(source_file, '/'), -1)))), ', ') AS sources, count(*) AS source_count FROM k GROUP BY qid"
+)
 def answer_contexts(spark, root):
     """For each query of the set the texts of its best three chunks in order, with their files."""
     own = collection(spark, root).select("id", "source_file", "content")
     return evaluation.contexts(hits(spark, root, 3).join(own, "id"))
 
 
-_LOG = (
-    "x AS (SELECT * FROM experiences WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1),"
-    " g AS (SELECT id, lower(trim(project_name)) AS project, reward, query, CASE WHEN json_valid(selected_chunk_ids) THEN list_distinct(list_filter(json_extract_string(selected_chunk_ids, '$[*]'), lambda v: v IS NOT NULL)) END AS ids FROM x)"
-)
-
-
 @query(f"WITH {_LOG} SELECT project, count(*) AS n, round(coalesce(sum(reward::DECIMAL(18,2))::DOUBLE / count(reward), 0.0), 6) AS mean_reward, count_if(reward > 0)::BIGINT AS praised, count_if(reward < 0)::BIGINT AS blamed FROM g GROUP BY project")
 def feedback_stats(spark, root):
     return feedback.figures(log(spark, root), "project")
@@ -200,3 +215,16 @@ def feedback_stream(spark, root):
     from quillstone.streaming.feedback import follow
 
     return follow(spark, f"{root}/experiences.parquet")
+
+
+@query("SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 800")
+def vector_sample(spark, root):
+    """The first vectors of a collection, as a plot takes them."""
+    return read_table(spark, root, "embeddings").select("vec_id", "label").orderBy("vec_id").limit(800)
+
+
+@query(f"WITH {ONCE['n']} SELECT project, count(*) AS n FROM n WHERE project = (SELECT min(project) FROM n) GROUP BY project")
+def default_collection(spark, root):
+    """The collection that is taken where none is named, the first by name, and its size."""
+    sizes = nlp(spark, root).where("project is not null").groupBy("project").agg(F.count("*").alias("n"))
+    return sizes.orderBy("project").limit(1)

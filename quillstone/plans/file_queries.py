@@ -9,7 +9,7 @@ from quillstone.functions import rules, text
 from quillstone.operators import parsers
 from quillstone.operators.ranking import latest
 from quillstone.plans.catalog import ONCE, query, quoted
-from quillstone.plans.text_queries import chunks
+from quillstone.plans.text_queries import made_of_chunks
 from quillstone.sources import files as source
 from quillstone.sources.tables import read_table
 
@@ -54,18 +54,25 @@ def scanned_languages(spark, root):
     return kept.groupBy("language").agg(F.count("*").alias("n"))
 
 
+def scanned(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of all files that a scan takes in, classified, repeated ones included."""
+    rows = read_table(spark, root, "files").select("file_id", "path", "length", "ingested_at", "content")
+    return source.classify(rows.where(source.skipped(F.col("path")).isNull() & (F.col("length") <= source.MAX_BYTES)))
+
+
 @query()
 def parse_files(spark, root):
     """All chunks of all files that a scan takes in."""
-    kept = trees(spark, root, "length", "content").where(source.skipped(F.col("path")).isNull() & (F.col("length") <= source.MAX_BYTES))
-    return parsers.parse(kept).select("file_id", "chunk_id", "chunk_type", "name", "start_line", "end_line", F.length("content").alias("chars"))
+    made = parsers.parse(scanned(spark, root), keep=("ingested_at",))
+    narrow = made.select("file_id", "ingested_at", "chunk_id", "chunk_type", "name", "start_line", "end_line", F.length("content").alias("chars"))
+    return parsers.newest(narrow, "ingested_at")
 
 
 @query()
 def parse_summary(spark, root):
     """Chunks by language and kind, most first."""
-    kept = trees(spark, root, "content").where(source.skipped(F.col("path")).isNull())
-    return parsers.parse(kept).groupBy("language", "chunk_type").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files"))
+    made = parsers.parse(scanned(spark, root), keep=("ingested_at",)).select("file_id", "ingested_at", "chunk_id", "language", "chunk_type")
+    return parsers.newest(made, "ingested_at").groupBy("language", "chunk_type").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files"))
 
 
 @query(
@@ -73,23 +80,22 @@ def parse_summary(spark, root):
     f" SELECT upper(regexp_extract(trim(body), '^[- \\n]*(\\S+)', 1)) AS verb, count(*) AS n, count(nullif(regexp_extract(body, {quoted(parsers.STATEMENT_NAME)}, 1), '')) AS named FROM s GROUP BY 1"
 )
 def sql_statements(spark, root):
-    c = chunks(spark, root, "content", "language").where("language = 'sql'")
-    s = c.select(F.explode(F.regexp_extract_all("content", F.lit(parsers.STATEMENT), F.lit(0))).alias("body"))
-    verb = F.upper(F.regexp_extract(F.trim("body"), r"^[- \n]*(\S+)", 1))
-    return s.groupBy(verb.alias("verb")).agg(F.count("*").alias("n"), F.count(F.nullif(F.regexp_extract("body", parsers.STATEMENT_NAME, 1), F.lit(""))).alias("named"))
+    found = F.transform(F.regexp_extract_all("content", F.lit(parsers.STATEMENT), F.lit(0)), lambda x: F.struct(F.upper(F.regexp_extract(F.trim(x), r"^[- \n]*(\S+)", 1)).alias("verb"), (F.regexp_extract(x, parsers.STATEMENT_NAME, 1) != "").alias("named")))
+    c = made_of_chunks(spark, root, found=F.when(F.col("language") == "sql", found)).select(F.explode("found").alias("s"))
+    return c.groupBy(F.col("s.verb").alias("verb")).agg(F.count("*").alias("n"), F.count_if("s.named").alias("named"))
 
 
 @query(f"WITH {ONCE['c']}, l AS (SELECT chunk_key, regexp_extract_all(content, '(?im)^(FROM|RUN|COPY|ADD|ENV|ARG|WORKDIR|EXPOSE|CMD|ENTRYPOINT|LABEL|VOLUME|USER|HEALTHCHECK|SHELL)\\b') AS x FROM c WHERE file_type = 'infra') SELECT upper(i) AS instruction, count(*) AS n FROM (SELECT unnest(x) AS i FROM l) GROUP BY 1")
 def dockerfile_blocks(spark, root):
-    c = chunks(spark, root, "content", "file_type").where("file_type = 'infra'")
-    made = c.select(F.explode(parsers.dockerfile(F.col("content"))).alias("p"))
-    return made.groupBy(F.col("p.name").alias("instruction")).agg(F.count("*").alias("n"))
+    names = F.transform(parsers.dockerfile(F.col("content")), lambda p: p["name"])
+    made = made_of_chunks(spark, root, names=F.when(F.col("file_type") == "infra", names)).select(F.explode("names").alias("instruction"))
+    return made.groupBy("instruction").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {ONCE['c']} SELECT k AS key, count(*) AS n FROM (SELECT unnest(json_keys(content)) AS k FROM c WHERE language = 'json' AND chunk_type = 'json_key' AND json_valid(content)) GROUP BY k")
 def json_keys(spark, root):
-    c = chunks(spark, root, "content", "language", "chunk_type").where("language = 'json' and chunk_type = 'json_key'")
-    made = c.select(F.explode(F.expr("json_object_keys(content)")).alias("key"))
+    keys = F.when((F.col("language") == "json") & (F.col("chunk_type") == "json_key"), F.expr("json_object_keys(content)"))
+    made = made_of_chunks(spark, root, keys=keys).select(F.explode("keys").alias("key"))
     return made.groupBy("key").agg(F.count("*").alias("n"))
 
 
@@ -102,6 +108,17 @@ def event_props(spark, root):
 @query(f"WITH {ONCE['c']} SELECT chunk_key, length(content) - length(replace(content, chr(10), '')) + 1 AS line_count, regexp_replace(substring(regexp_replace(regexp_replace(list_extract(string_split(source_file, '/'), -1), '(.)\\.[^.]*$', '\\1'), '[^\\p{{L}}\\p{{N}}_]', '_', 'g'), 1, 25), '^$', '') AS stem FROM c WHERE source_file IS NOT NULL")
 def chunk_lines(spark, root):
     """Lines of each chunk, and the part of its id that comes from its file's name."""
-    c = chunks(spark, root, "content", "source_file").where("source_file is not null")
     stem = F.substring(F.regexp_replace(text.stem(F.col("source_file")), rf"[^{text.WORD}]", "_"), 1, 25)
-    return c.select("chunk_key", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line_count"), stem.alias("stem"))
+    count = (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    c = made_of_chunks(spark, root, line_count=count, stem=stem, named=F.col("source_file").isNotNull())
+    return c.where("named").select("chunk_key", "line_count", "stem")
+
+
+_REPORTED = " AND ".join(f"NOT contains(regexp_extract(path, '^(.*/)?[^/]*$', 1), {quoted(x)})" for x in rules.REPORT_SKIPPED) + " AND (" + " OR ".join(f"ends_with(path, {quoted(x)})" for x in rules.REPORT_ENDINGS) + ")"
+
+
+@query(f"WITH {ONCE['f']} SELECT file_id, path FROM f WHERE {_REPORTED}")
+def report_files(spark, root):
+    """The code files that a report on a tree reads."""
+    rows = read_table(spark, root, "files").select("file_id", "path", "ingested_at")
+    return latest(rows, ["file_id"], "ingested_at").where(source.reported(F.col("path"))).select("file_id", "path")

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import languages, scoring, text
+from quillstone.functions.arrow import arrow
 from quillstone.operators import entities, segments, vectors
 from quillstone.plans.shared import written
 
@@ -41,8 +43,15 @@ def ner(df: DataFrame) -> DataFrame:
     return df.withColumn("entities", entities.entities_with_places(_text()))
 
 
-def chunk(df: DataFrame) -> DataFrame:
-    df = df.withColumn("semantic_segments", segments.segments(_text(), segments.strategy(F.col("chunk_type")), F.col("chunk_id")))
+def chunk(df: DataFrame, similarity: bool = False) -> DataFrame:
+    """Segments; with ``similarity`` documents without headings are cut where neighbouring sentences differ, not at blank lines."""
+    kind = segments.strategy(F.col("chunk_type"))
+    if similarity:
+        alike = F.when(kind == "doc", segments.neighbour_similarities(segments.sentences(_text())))
+        made = segments.alike_segments(_text(), kind, F.col("chunk_id"), alike)
+    else:
+        made = segments.segments(_text(), kind, F.col("chunk_id"))
+    df = df.withColumn("semantic_segments", made)
     return df.withColumn("segment_count", F.size("semantic_segments"))
 
 
@@ -72,6 +81,36 @@ def embed(df: DataFrame, dimension: int = 256) -> DataFrame:
     return out.withColumn("embedding_dim", F.size("embedding")).withColumn("embedding_model", F.lit("tfidf"))
 
 
+#: Rows that an embedding function gets at once.
+EMBED_ROWS = 64
+
+
+def choose_backend(wanted: str, known: dict[str, Callable[[list[str]], list[list[float]]]], order: tuple[str, ...] = ("sentence_transformers", "openai", "cohere", "huggingface")) -> str:
+    """The name of the embedding function to take: the wanted one, or with ``auto`` the first of the order that is known; ``tfidf`` where there is none."""
+    names = [n for n in order if n in known] if wanted == "auto" else [wanted] if wanted in known else []
+    return names[0] if names else "tfidf"
+
+
+def embed_with(df: DataFrame, name: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """Vectors by a given function from texts to vectors, which gets ``EMBED_ROWS`` texts at once in the tasks; rows of a call that fails get empty vectors."""
+
+    @arrow("array<float>")
+    def vectors_of(texts: pd.Series) -> pd.Series:
+        made: list[list[float]] = []
+        for a in range(0, len(texts), EMBED_ROWS):
+            part = [t or "" for t in texts[a : a + EMBED_ROWS]]
+            try:
+                got = [list(map(float, v)) for v in model(part)]
+                made += got if len(got) == len(part) else [[] for _ in part]
+            except Exception:  # noqa: BLE001 - whatever a foreign function raises, its rows go on without a vector
+                made += [[] for _ in part]
+        return pd.Series(made)
+
+    named = [F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("name", "docstring")]
+    out = _fixed(df, "embedding", vectors_of(text.embedding_text(*named, _text())))
+    return out.withColumn("embedding_dim", F.size("embedding")).withColumn("embedding_model", F.lit(name))
+
+
 def multilingual(df: DataFrame, translate: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """The language by script; with a translation function, the translation of what passes the gate."""
     found = languages.script_language(languages.detection_text(F.col("docstring"), _text()))
@@ -84,11 +123,19 @@ def multilingual(df: DataFrame, translate: Callable[[Column, Column], Column] |
     return df.withColumn("is_translated", F.col("translated_text").isNotNull())
 
 
-def enrich(chunks: DataFrame, skip: tuple[str, ...] = (), translate: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def enrich(
+    chunks: DataFrame,
+    skip: tuple[str, ...] = (),
+    translate: Callable[[Column, Column], Column] | None = None,
+    backend: str = "auto",
+    models: dict[str, Callable[[list[str]], list[list[float]]]] | None = None,
+    similarity: bool = False,
+) -> DataFrame:
     """The chunks with the columns of all steps but the skipped ones.
 
     Columns of the same names in the input are replaced; every row comes out, repeated ones
     too. A step that needs the columns of a skipped one takes what the input has.
+    ``models`` are embedding functions by name, of which ``backend`` chooses one; without one the vectors are term vectors.
     """
     if unknown := set(skip) - set(STEPS):
         raise ValueError(f"no such step: {', '.join(sorted(unknown))}")
@@ -96,7 +143,12 @@ def enrich(chunks: DataFrame, skip: tuple[str, ...] = (), translate: Callable[[C
     for name, kind in (("cleaned_text", "string"), ("tokens", "array<string>"), ("token_count", "int")):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
-    steps: dict[str, Callable[[DataFrame], DataFrame]] = {"clean": clean, "ner": ner, "chunk": chunk, "tag": tag, "embed": embed, "multilingual": lambda d: multilingual(d, translate)}
+    chosen = choose_backend(backend, models or {})
+
+    def embedded(d: DataFrame) -> DataFrame:
+        return embed(d) if chosen == "tfidf" else embed_with(d, chosen, (models or {})[chosen])
+
+    steps: dict[str, Callable[[DataFrame], DataFrame]] = {"clean": clean, "ner": ner, "chunk": lambda d: chunk(d, similarity), "tag": tag, "embed": embedded, "multilingual": lambda d: multilingual(d, translate)}
     for name in STEPS:
         if name not in skip:
             df = steps[name](df)

@@ -9,16 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    """The folder that all executors share: the session's spark.checkpoint.dir.
+
+    Only a local session, as in tests, gets one of its own where that is unset;
+    on a cluster a folder of the driver's machine would be no shared one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new name below the shared folder; what is written there is removed when the session's process ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, computed once, written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import languages, rules, scoring, text
 from quillstone.operators import entities, parsers, segments
-from quillstone.operators.ranking import latest
+from quillstone.operators.ranking import latest, latest_wide
 from quillstone.plans.catalog import ONCE, query, quoted
 from quillstone.sources.tables import read_table
 
@@ -33,6 +33,17 @@ def chunks(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     return latest(read_table(spark, root, "chunks").select("chunk_key", "ingested_at", *columns), ["chunk_key"], "ingested_at")
 
 
+def whole_chunks(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """The same for queries whose result is as wide as the texts."""
+    return latest_wide(read_table(spark, root, "chunks").select("chunk_key", "ingested_at", *columns), ["chunk_key"], "ingested_at")
+
+
+def made_of_chunks(spark: SparkSession, root: str, **made: Column) -> DataFrame:
+    """What is made of each chunk's columns, of its last taken in row: all rows are worked on where they are, and only the results are compared by key."""
+    rows = read_table(spark, root, "chunks").select("chunk_key", "ingested_at", *[c.alias(name) for name, c in made.items()])
+    return latest(rows, ["chunk_key"], "ingested_at").drop("ingested_at")
+
+
 def _re(column: str, form: str, by: str = "''") -> str:
     return f"regexp_replace({column}, {quoted(form)}, {by}, 'g')"
 
@@ -73,7 +84,7 @@ def unicode_fold(spark, root):
 @query()
 def chunk_clean_text(spark, root):
     """Every chunk cleaned as its kind is, with comments removed from code."""
-    c = chunks(spark, root, "content", "chunk_type", "language")
+    c = whole_chunks(spark, root, "content", "chunk_type", "language")
     return c.select("chunk_key", text.cleaned(F.col("content"), F.col("chunk_type"), F.col("language"), comments=False).alias("cleaned"))
 
 
@@ -262,15 +273,60 @@ def sliding_window(spark, root):
     return made.select("doc_id", (F.col("k") * 200).cast("int").alias("first_word"), F.size(F.filter(F.split("body", " "), lambda w: w != "")).alias("words"), F.length("body").alias("chars"))
 
 
-@query()
+_STRATEGY = "CASE " + " ".join(f"WHEN chunk_type IN ({', '.join(map(quoted, kinds))}) THEN '{name}'" for name, kinds in (("doc", rules.DOC_CHUNKS), ("code", rules.CODE_CHUNKS), ("data", rules.DATA_CHUNKS))) + " ELSE 'fallback' END"
+
+_WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]"
+
+
+def _starts(form: str) -> str:
+    """SQL for the places of all matches of a form in t: the lengths of what comes before each."""
+    gaps, found = f"regexp_split_to_array(t, {quoted(form)})", f"regexp_extract_all(t, {quoted(form)})"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: (list_sum(list_transform(list_slice({gaps}, 1, i), lambda g: length(g))) + coalesce(list_sum(list_transform(list_slice({found}, 1, i - 1), lambda g: length(g))), 0))::INTEGER)"
+
+
+_DEFINITION = "(?m)" + rules.FUNCTION_FORM.replace(r"\w", r"[\p{L}\p{N}_]") + "|" + rules.CLASS_FORM.replace(r"\w", r"[\p{L}\p{N}_]")
+_SEGMENTED = (
+    f"{ONCE['n']}, s AS (SELECT chunk_key, chunk_id, coalesce({_TEXT}, '') AS t, {_STRATEGY} AS kind FROM n),"
+    f" m AS (SELECT *, CASE WHEN kind = 'doc' THEN {_starts(rules.HEADING_FORM)} END AS heads, CASE WHEN kind = 'doc' THEN {_starts(chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n')} END AS blanks, CASE WHEN kind = 'code' THEN {_starts(_DEFINITION)} END AS defs, {_starts(chr(92) + 'S+')} AS ws FROM s),"
+    " x AS (SELECT chunk_key, chunk_id, t, CASE WHEN kind = 'data' THEN [0] WHEN kind = 'doc' THEN CASE WHEN len(heads) > 0 THEN heads ELSE blanks END WHEN kind = 'code' AND len(defs) > 1 THEN defs END AS cuts,"
+    " CASE WHEN kind = 'fallback' OR kind = 'code' AND len(defs) <= 1 THEN CASE WHEN len(ws) = 0 THEN [0] ELSE list_transform(range(0, greatest(len(ws) - 50, 1), 200), lambda i: ws[i + 1]) END END AS wins, ws FROM m),"
+    " e AS (SELECT chunk_key, chunk_id, t, ws, wins, CASE WHEN cuts IS NULL THEN NULL WHEN len(cuts) = 0 THEN [0] WHEN cuts[1] > 0 THEN list_concat([0], cuts) ELSE cuts END AS cuts FROM x),"
+    " w AS (SELECT chunk_key, chunk_id, t, i, CASE WHEN cuts IS NOT NULL THEN cuts[i] ELSE wins[i] END AS a, CASE WHEN cuts IS NOT NULL THEN coalesce(cuts[i + 1], length(t)) ELSE coalesce(ws[(i - 1) * 200 + 251], length(t)) END AS b"
+    " FROM (SELECT *, unnest(range(1, len(coalesce(cuts, wins)) + 1)) AS i FROM e))"
+)
+
+
+@query(f"WITH {_SEGMENTED}, r AS (SELECT chunk_key, coalesce(chunk_id, '') || '__seg_' || i AS segment_id, a::INTEGER AS start_char, b::INTEGER AS end_char, regexp_replace(substring(t, a + 1, b - a), {quoted(chr(92) + 'A' + _WS + '+|' + _WS + '+' + chr(92) + 'z')}, '', 'g') AS text FROM w) SELECT * FROM r WHERE text <> ''")
 def segment_spans(spark, root):
     """The segments of each chunk by its strategy, with their places."""
     t = text.first_text(F.col("cleaned_text"), F.col("content"))
-    n = nlp(spark, root).select("chunk_key", F.explode(segments.segments(t, segments.strategy(F.col("chunk_type")), F.col("chunk_id"))).alias("s"))
-    return n.select("chunk_key", "s.segment_id", "s.start_char", "s.end_char", "s.text")
+    made = nlp_rows(spark, root).select("chunk_key", segments.segments(t, segments.strategy(F.col("chunk_type")), F.col("chunk_id")).alias("s"))
+    narrow = made.select("chunk_key", F.posexplode("s").alias("k", "s"))
+    # repeated rows are equal, so that their segments are
+    return narrow.dropDuplicates(["chunk_key", "k"]).select("chunk_key", "s.segment_id", "s.start_char", "s.end_char", "s.text")
 
 
-_STRATEGY = "CASE " + " ".join(f"WHEN chunk_type IN ({', '.join(map(quoted, kinds))}) THEN '{name}'" for name, kinds in (("doc", rules.DOC_CHUNKS), ("code", rules.CODE_CHUNKS), ("data", rules.DATA_CHUNKS))) + " ELSE 'fallback' END"
+@query()
+def similarity_segments(spark, root):
+    """Spans of sentences of each document, cut where neighbours have few words in common."""
+    docs = read_table(spark, root, "documents").where("text is not null")
+    made = docs.select("doc_id", F.posexplode(segments.similarity_cuts(F.col("text"), 0.1)).alias("k", "s"))
+    return made.select("doc_id", (F.col("k") + 1).alias("k"), "s.start_char", "s.end_char")
+
+
+_MARKED = "regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g')"
+
+
+@query(
+    f"WITH p AS (SELECT doc_id, string_split({_MARKED}, chr(1)) AS x FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, list_transform(x, lambda s: list_distinct(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+'))) AS x FROM p),"
+    " q AS (SELECT doc_id, unnest(range(1, len(x))) AS k, x FROM w WHERE len(x) > 1), r AS (SELECT doc_id, k, x[k] AS a, x[k + 1] AS b FROM q)"
+    " SELECT doc_id, k::INTEGER AS k, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / sqrt(len(a)::DOUBLE * len(b)) ELSE 0.0::DOUBLE END, 5) AS similarity FROM r"
+)
+def sentence_similarity(spark, root):
+    """How much each sentence of a document and the next have in common."""
+    docs = read_table(spark, root, "documents").where("text is not null")
+    made = docs.select("doc_id", F.posexplode(segments.neighbour_similarities(segments.sentences(F.col("text")))).alias("k", "s"))
+    return made.select("doc_id", (F.col("k") + 1).alias("k"), F.round("s", 5).alias("similarity"))
 
 
 @query(f"WITH {ONCE['n']} SELECT {_STRATEGY} AS strategy, count(*) AS n FROM n GROUP BY 1")
@@ -305,7 +361,7 @@ def md_sections(spark, root):
     f"WITH {ONCE['c']} SELECT chunk_key, substring(concat_ws(' ' || chr(10), nullif(name, ''), substring(nullif(docstring, ''), 1, 300), nullif(content, '')), 1, 2000) AS embed_text FROM c"
 )
 def embed_text(spark, root):
-    return chunks(spark, root, "name", "docstring", "content").select("chunk_key", text.embedding_text(F.col("name"), F.col("docstring"), F.col("content")).alias("embed_text"))
+    return whole_chunks(spark, root, "name", "docstring", "content").select("chunk_key", text.embedding_text(F.col("name"), F.col("docstring"), F.col("content")).alias("embed_text"))
 
 
 @query()
@@ -313,5 +369,69 @@ def enrich_chunks(spark, root):
     """All steps of the enrichment over all chunks."""
     from quillstone.plans.pipeline import enrich
 
-    made = enrich(chunks(spark, root, "chunk_id", "content", "chunk_type", "language", "docstring"))
+    made = enrich(whole_chunks(spark, root, "chunk_id", "content", "chunk_type", "language", "docstring"))
     return made.select("chunk_key", "cleaned_text", "token_count", "normalized_lang", F.size("entities").alias("entities"), "segment_count", F.array_join("tags", ",").alias("tags"), "complexity_score", "embedding_dim", "detected_lang", "is_translated")
+
+
+def _query_rule_sql(k: int, label: str, form: str, group: int) -> str:
+    return f"SELECT doc_id, {k} AS rule, {quoted(label)} AS label, unnest(regexp_extract_all(text, {quoted(form)}, {group})) AS x, generate_subscripts(regexp_extract_all(text, {quoted(form)}, {group}), 1) AS pos FROM documents"
+
+
+@query(
+    "WITH r AS (" + " UNION ALL ".join(_query_rule_sql(k, *r) for k, r in enumerate(rules.QUERY_ENTITY_RULES)) + "), e AS (SELECT doc_id, rule, pos, label, trim(x) AS text FROM r WHERE length(x) > 1 QUALIFY row_number() OVER (PARTITION BY doc_id, label, lower(trim(x)) ORDER BY pos) = 1)"
+    " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rule, pos)::INTEGER AS k, label, text FROM e QUALIFY k <= 12"
+)
+def query_entities(spark, root):
+    """The first twelve entities of each document, by the rules for queries."""
+    q = read_table(spark, root, "documents").select("doc_id", F.posexplode(entities.query_entities(F.col("text"))).alias("k", "e"))
+    return q.select("doc_id", (F.col("k") + 1).alias("k"), "e.label", "e.text")
+
+
+_QUERY_COUNTS = ", ".join(f"{{'n': len(regexp_extract_all(t, {quoted(form)})), 'first': -coalesce(nullif(length(regexp_extract(t, {quoted('^((?s:.*?))' + form)}, 1)), NULL), 0), 'lang': {quoted(lang)}}}" for lang, form in sorted(rules.QUERY_SCRIPTS.items()))
+_TITLES = "CASE lang " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in sorted(rules.QUERY_LANGUAGES.items())) + " ELSE upper(lang) END"
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, trim(translate(text, chr(10) || chr(13) || chr(9), '   ')) AS t FROM documents), m AS (SELECT doc_id, t, list_max([{_QUERY_COUNTS}]) AS top FROM s),"
+    " l AS (SELECT doc_id, CASE WHEN coalesce(t, '') = '' OR top.n = 0 THEN 'en' ELSE top.lang END AS lang, CASE WHEN coalesce(t, '') = '' THEN 1.0::DOUBLE WHEN top.n = 0 THEN 0.5::DOUBLE ELSE round(least(top.n::DOUBLE / greatest(length(t), 1) * 5, 0.95::DOUBLE), 3) END AS conf FROM m)"
+    f" SELECT doc_id, lang, {_TITLES} AS name, conf FROM l"
+)
+def query_languages(spark, root):
+    """The language by script, with its name, as a query would be told."""
+    docs = read_table(spark, root, "documents")
+    return docs.select("doc_id", languages.query_language(F.col("text")).alias("l")).select("doc_id", "l.lang", "l.name", "l.conf")
+
+
+_COLOUR = "CASE WHEN score IS NULL THEN NULL " + " ".join(f"WHEN score < {bound} THEN {quoted(name)}" for bound, name in rules.COMPLEXITY_COLOURS[:-1]) + f" ELSE {quoted(rules.COMPLEXITY_COLOURS[-1][1])} END"
+
+
+@query(f"WITH {_SCORED} SELECT {_COLOUR} AS colour, count(*) AS n FROM z GROUP BY 1")
+def complexity_colours(spark, root):
+    return scored(spark, root).groupBy(scoring.colour(F.col("score")).alias("colour")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ONCE['n']}, v AS (SELECT chunk_key, substring(concat_ws(' ' || chr(10), nullif(name, ''), substring(nullif(docstring, ''), 1, 300), {_TEXT}), 1, 2000) AS t FROM n) SELECT chunk_key, 2 AS embedding_dim, length(t)::DOUBLE AS characters, (length(t) - length(replace(t, ' ', '')))::DOUBLE AS blanks FROM v")
+def embedded_chunks(spark, root):
+    """Vectors by a function that is passed in: here one of two figures of a text."""
+    from quillstone.plans.pipeline import embed_with
+
+    rows = nlp_rows(spark, root).select("chunk_key", "name", "docstring", "cleaned_text", "content")
+    made = embed_with(rows, "figures", lambda texts: [[len(t), t.count(" ")] for t in texts])
+    return once(made.select("chunk_key", "embedding_dim", F.get("embedding", 0).cast("double").alias("characters"), F.get("embedding", 1).cast("double").alias("blanks")))
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, text AS t FROM documents WHERE regexp_matches(text, {quoted('(?m)' + parsers.HEADING)})), h AS (SELECT doc_id, t, {_starts('(?m)' + parsers.HEADING)} AS places FROM s),"
+    " p AS (SELECT doc_id, i, substring(t, places[i] + 1, coalesce(places[i + 1], length(t)) - places[i]) AS body, substring(t, 1, places[i]) AS before FROM (SELECT *, unnest(range(1, len(places) + 1)) AS i FROM h)),"
+    " b AS (SELECT doc_id, i, before, regexp_replace(body, '\\A[\\s\\x0b]+|[\\s\\x0b]+\\z', '', 'g') AS body FROM p)"
+    " SELECT doc_id, 'h' || length(regexp_extract(body, '^(#{1,6})', 1)) || '_section' AS kind, regexp_replace(regexp_extract(body, '^#{1,6}\\s+([^\\n]+)', 1), '\\A[\\s\\x0b]+|[\\s\\x0b]+\\z', '', 'g') AS name,"
+    " (length(before) - length(replace(before, chr(10), '')) + 1)::INTEGER AS start_line, (length(before) - length(replace(before, chr(10), '')) + 1 + length(body) - length(replace(body, chr(10), '')))::INTEGER AS end_line, substring(body, 1, 4000) AS content FROM b"
+    " UNION ALL SELECT doc_id, 'paragraph', 'p' || k, NULL, NULL, substring(x, 1, 4000) FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS k FROM (SELECT doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(translate(x, chr(10) || chr(13) || chr(9), '   ')) <> '') AS l FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, "
+    + quoted("(?m)" + parsers.HEADING)
+    + ")))"
+)
+def markdown_pieces(spark, root):
+    """Every document cut as Markdown: by its headings, or into paragraphs where it has none."""
+    docs = read_table(spark, root, "documents").where("text is not null")
+    made = docs.select("doc_id", F.explode(parsers.markdown(F.col("text"))).alias("p"))
+    return made.select("doc_id", "p.kind", "p.name", "p.start_line", "p.end_line", "p.content")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.rules import EXTENSIONS, FILE_NAMES, SKIPPED_EXTENSIONS, SKIPPED_FOLDERS, SKIPPED_NAMES, SKIPPED_PATTERN
+from quillstone.functions.rules import EXTENSIONS, FILE_NAMES, REPORT_CHARS, REPORT_ENDINGS, REPORT_SKIPPED, SKIPPED_EXTENSIONS, SKIPPED_FOLDERS, SKIPPED_NAMES, SKIPPED_PATTERN
 from quillstone.functions.text import basename
 
 MAX_BYTES = 500 * 1024
@@ -73,3 +73,20 @@ def decoded(content: Column) -> Column:
     """UTF-8 text with what is invalid replaced and without a byte-order mark; null for binary content."""
     text = F.make_valid_utf8(content.cast("string"))
     return F.when(~is_binary(content), F.regexp_replace(text, r"\A\x{feff}", ""))
+
+
+def reported(path: Column) -> Column:
+    """Whether a report on a tree takes a file: by its ending, unless the name of a skipped folder stands anywhere in its folder's path."""
+    folder = F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
+    skipped_, taken = F.lit(False), F.lit(False)
+    for mark in REPORT_SKIPPED:
+        skipped_ = skipped_ | folder.contains(mark)
+    for ending in REPORT_ENDINGS:
+        taken = taken | path.endswith(ending)
+    return F.coalesce(taken & ~skipped_, F.lit(False))
+
+
+def report_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """The code files that a report reads, with the first ``REPORT_CHARS`` characters of their text; invalid bytes are left out."""
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return files.where(reported(F.col(path))).withColumn("head", F.substring(text, 1, REPORT_CHARS)).drop("content")

@@ -39,6 +39,14 @@ def projects_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("project").distinct().orderBy("project")
 
 
+def default_project(spark: SparkSession, path: str) -> str:
+    """The project of a collection that is taken where none is named: the first in order."""
+    first = projects_of(spark, path).limit(1).collect()
+    if not first:
+        raise ValueError(f"no collection in {path}")
+    return first[0].project
+
+
 def append_feedback(df: DataFrame, path: str) -> None:
     """Appends feedback rows; vectors and ids travel as JSON text."""
     rows = df.select("*")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.plans.shared import shared_folder
+from quillstone.plans.shared import fresh_folder
 
 
 def figures(stream: DataFrame) -> DataFrame:
@@ -31,7 +29,7 @@ def follow(spark: SparkSession, path: str, files_at_once: int = 4) -> DataFrame:
     replaces its own rows only. The last batch's table is the result.
     """
     schema = spark.read.parquet(path).schema
-    folder = f"{shared_folder(spark)}/feedback-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "feedback")
     # as a pattern, the path may be a folder or a single file
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(f"{path[:-1]}[{path[-1]}]")
     batches: list[int] = []

@@ -254,3 +254,88 @@ def test_feedback_stream_counts_late_entries_of_many_files(spark, tmp_path):
         log = spark.createDataFrame([(n, "p", 1.0, f"2024-{month:02d}-05 00:00:00"), (0, "p", 1.0, f"2024-{month:02d}-06 00:00:00")], "id long, project_name string, reward double, at string")
         log.select("id", "project_name", "reward", F.to_timestamp("at").alias("ingested_at")).coalesce(1).write.mode("append").parquet(path)
     assert [(r.project, r.n) for r in follow(spark, path, 1).collect()] == [("p", 7)]
+
+
+def test_latest_of_wide_rows_and_ties(spark):
+    from quillstone.operators.ranking import latest, latest_wide
+
+    rows = [(1, "2024-01-01", "a"), (1, "2024-01-02", "b"), (2, None, "c"), (2, "2024-01-01", "d"), (3, "2024-01-01", "e"), (None, "2024-01-01", "f"), (None, "2024-01-02", "g"), (4, "2024-01-01", "h"), (4, "2024-01-01", "i"), (4, "2024-01-01", "i")]
+    df = spark.createDataFrame(rows, "k long, at string, v string").repartition(3)
+    want = {tuple(r) for r in latest(df, ["k"], "at").collect()}
+    assert {r[0] for r in want} == {1, 2, 3, 4, None} and len(want) == 5
+    for most in (0, 1, 100):
+        got = [tuple(r) for r in latest_wide(df, ["k"], "at", most).collect()]
+        assert set(got) == want and len(got) == 5
+    assert {tuple(r) for r in latest(df.repartition(1), ["k"], "at").collect()} == want
+    assert latest_wide(df.limit(0), ["k"], "at").count() == 0
+
+
+def test_placed_matches_and_style_sheets(spark):
+    from quillstone.operators import parsers
+
+    css = ":root { --a: 1px;\n--b: red; }\n/* c */\n.a:hover {\n  color: red;\n  // x: y\n}\n@media (x) {\n .b { c: d; }\n}\n"
+    sh = "#!/bin/sh\n# a\n# b\nfoo() {\n  echo hi\n}\nfunction bar() { x; }\n"
+    sql = "-- c\nCREATE TABLE t (a int);\n\nSELECT 1\nFROM t;\n"
+    py = "import os\nfrom a.b import c\nclass A:\n  def f(self, x) -> int:\n    def g(): pass\n    return 1\nasync def h(): pass\n"
+    df = spark.createDataFrame([("css", css), ("shell", sh), ("sql", sql), ("python", py), ("css", "no rule"), ("sql", None)], "k string, t string")
+    made = df.select("k", F.explode(parsers.pieces(F.col("t"), F.col("k"), F.lit(""))).alias("p")).select("k", "p.*").collect()
+    short = [(r.k, r.chunk_type, r.name, r.start_line, r.end_line) for r in made]
+    assert short == [
+        ("css", "css_variables", "CSS Variables", 1, None), ("css", "pseudo_rule", ":root", 1, 3), ("css", "pseudo_rule", ".a:hover", 3, 5), ("css", "media_query", "@media (x)", 7, 8),
+        ("shell", "shell_function", "foo", 4, 7), ("shell", "shell_function", "bar", 7, 8), ("shell", "shell_comment", "Comment L1", 1, None),
+        ("sql", "sql_c", "t", 1, 2), ("sql", "sql_select", "stmt_2", 4, 5),
+        ("python", "class", "A", 3, 6), ("python", "function", "h", 7, 7), ("python", "method", "f", 4, 6), ("python", "function", "g", 5, 5), ("css", "code_block", "__block__1", 1, 1),
+    ]
+    assert made[1].extra == {"properties": '["--a: 1px;", "--b: red;"]', "prop_count": "2"} and made[11].parent == "A" and made[11].parameters == ["x"] and made[11].return_type == "int" and made[9].imports == ["a.b", "os"]
+
+
+def test_embedding_functions(spark):
+    from quillstone.plans import pipeline
+
+    def fails(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no")
+        return [[1.0, len(t)] for t in texts]
+
+    assert pipeline.choose_backend("auto", {"cohere": fails, "openai": fails}) == "openai" and pipeline.choose_backend("other", {"cohere": fails}) == "tfidf" and pipeline.choose_backend("auto", {}) == "tfidf"
+    df = spark.createDataFrame([(k, "bad" if k == 70 else "fine") for k in range(100)], "k int, content string").withColumn("cleaned_text", F.lit(None).cast("string")).coalesce(1)
+    rows = {r.k: r for r in pipeline.embed_with(df, "mine", fails).collect()}
+    assert rows[3].embedding == [1.0, 4.0] and rows[3].embedding_model == "mine" and {k for k, r in rows.items() if r.embedding_dim == 0} == set(range(64, 100))
+
+
+def test_saved_networks_and_default_project(spark, tmp_path):
+    from quillstone.sources.records import default_project, write_collection
+
+    net = vectors.new_network(6)
+    vectors.save_network(spark, net, str(tmp_path / "net"))
+    again = vectors.load_network(spark, str(tmp_path / "net"))
+    assert all((a == b).all() and a.shape == b.shape for a, b in zip(net, again)) and len(net) == len(again)
+    write_collection(spark.createDataFrame([(1, "b"), (2, "a")], "id long, project string"), str(tmp_path / "c"))
+    assert default_project(spark, str(tmp_path / "c")) == "a"
+
+
+def test_similarity_segments_and_query_helpers(spark):
+    from quillstone.functions import languages, scoring
+    from quillstone.operators import entities, segments
+
+    text = "The cache is warm. The cache is warm today. Nothing else here! Ok then."
+    row = spark.createDataFrame([(text,)], "t string").select(segments.similarity_cuts(F.col("t"), 0.5).alias("c"), segments.neighbour_similarities(segments.sentences(F.col("t"))).alias("s"), segments.similarity_cuts(F.lit("One. Two."), 0.5).alias("few")).first()
+    assert [tuple(c) for c in row.c] == [(0, 44), (44, 63), (63, len(text))] and [round(x, 3) for x in row.s] == [0.894, 0.0, 0.0] and [tuple(c) for c in row.few] == [(0, 9)]
+    made = spark.createDataFrame([(text, "doc_section", "id")], "t string, k string, i string")
+    alike = segments.neighbour_similarities(segments.sentences(F.col("t")))
+    parts = made.select(segments.alike_segments(F.col("t"), F.lit("doc"), F.col("i"), alike).alias("s")).first().s
+    assert [p.text for p in parts] == ["The cache is warm. The cache is warm today.", "Nothing else here!", "Ok then."]
+    asked = [("def run(x) in /a/b.py v1.2.3 def RUN todo",), ("",), (None,), ("தமிழ் மொழி",), ("привет",)]
+    rows = spark.createDataFrame(asked, "t string").select(entities.query_entities(F.col("t")).alias("e"), languages.query_language(F.col("t")).alias("l")).collect()
+    assert [(e.label, e.text) for e in rows[0].e] == [("FUNC", "run"), ("TODO", "todo"), ("FILE_PATH", "/a/b.py"), ("VERSION", "1.2.3")] and rows[1].e == [] == rows[2].e
+    assert [(r.l.lang, r.l.name, r.l.conf) for r in rows] == [("en", "English", 0.5), ("en", "English", 1.0), ("en", "English", 1.0), ("ta", "Tamil", 0.95), ("ru", "Russian", 0.95)]
+    colours = spark.createDataFrame([(0.0,), (0.25,), (0.5,), (0.75,), (None,)], "x double").select(scoring.colour(F.col("x")).alias("c")).collect()
+    assert [r.c for r in colours] == ["#34d399", "#60a5fa", "#fbbf24", "#f472b6", None]
+
+
+def test_report_files(spark):
+    from quillstone.sources.files import report_files
+
+    rows = [("a/b.py", b"x" * 5000), ("a/venv2/b.py", b"x"), ("b.txt", b"x"), ("my.git/c.js", b"x"), ("d.cpp", b"\xff\xfeab"), (None, b"x")]
+    got = {r.path: r.head for r in report_files(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got == {"a/b.py": "x" * 4000, "d.cpp": "ab"}
