@@ -22,18 +22,16 @@ the square of a group.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSelector, FileSystem
-from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.plans.shared import shared_folder
+from quillstone.plans.shared import written
+from quillstone.sources.blocks import read_blocks, write_blocks
 
 CURVES = 10
 PROJECTED = 10
@@ -211,7 +209,9 @@ def nearest(
     """
     vectors = df.select(F.col(key).cast("long").alias("id"), F.col(group).alias("model"), F.col(vector).alias("vec"))
     vectors = vectors.where("id is not null and model is not null and size(vec) > 0")
-    rows = curve_rows(vectors.select("id", F.xxhash64("model").alias("grp"), F.col("vec").cast("array<double>").alias("vec")), curves, projected)
+    own = F.xxhash64("model", F.size("vec")).alias("grp")  # vectors of other lengths take no place in a window
+    # written once: the partitioning by range reads the keys twice
+    rows = written(curve_rows(vectors.select("id", own, F.col("vec").cast("array<double>").alias("vec")), curves, projected), "curves")
     order = ["curve", "grp", "place", "id"]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     bits = 64 * SKETCH_WORDS
@@ -315,25 +315,20 @@ def all_nearest(df: DataFrame, k: int = 10, key: str = "chunk_key", vector: str
     # the order of a curve puts like vectors into a block, so that the bounds are high from its first comparison on
     place = curve_rows(once, 1, PROJECTED).select("id", "grp", "place")
     ordered = once.join(place, ["id", "grp"]).repartitionByRange("grp", "place", "id").sortWithinPartitions("grp", "place", "id")
-    folder = f"{shared_folder(df.sparkSession)}/blocks-{uuid.uuid4().hex}"
-    blocks(ordered.select("id", "grp", "vec")).write.parquet(folder)
+    folder = write_blocks(blocks(ordered.select("id", "grp", "vec")), "blocks")
     cut = df.sparkSession.read.schema("block long, grp long, length int, ids binary, units binary").parquet(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = FileSystem.from_uri(folder)
-        files = sorted(f.path for f in system.get_file_info(FileSelector(path)) if f.path.endswith(".parquet"))
         for batch in batches:
             mine = [(kind, Best(ids, x, k)) for kind, ids, x in unpacked(batch)]
             kinds = {kind for kind, _ in mine}
-            for file in files:
-                with system.open_input_file(file) as opened:
-                    for part in ParquetFile(opened).iter_batches(4):
-                        for kind, theirs, y in unpacked(part):
-                            if kind in kinds:
-                                single = y.astype(np.float32)
-                                for own, best in mine:
-                                    if own == kind:
-                                        best.meet(theirs, y, single)
+            for _, part in read_blocks(folder, 4):
+                for kind, theirs, y in unpacked(part):
+                    if kind in kinds:
+                        single = y.astype(np.float32)
+                        for own, best in mine:
+                            if own == kind:
+                                best.meet(theirs, y, single)
             for _, best in mine:
                 yield best.rows()
 
