@@ -2,20 +2,24 @@
 
 Values are found by their form and by the words around them, and validated where
 their kind has a check (digit counts, check letters, dates). Numbers are replaced
-by a format-preserving pseudonym: a keyed Feistel network permutes the digits and
-the letters of a value within its format, so that equal values get equal
-pseudonyms in every document and no value can be read back without the key.
-Addresses, names and e-mail addresses get a keyed tag instead. Both stand in a
-typed placeholder.
+by a format-preserving pseudonym: a keyed Feistel network permutes the valid values of
+a format, walking on until it meets a valid one, so that check digits, dates and
+country codes hold, equal values get equal pseudonyms in every document, and no
+value can be read back without the key. A phone number is permuted without its
+country code and trunk zero, so that its spellings stay linked. Birth dates are
+permuted among all dates of two centuries. Addresses, names and e-mail addresses get
+a keyed tag instead. Each stands in a typed placeholder.
 
 One narrow stage: no shuffle but for making the found lines distinct.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -150,6 +154,19 @@ _UPW = rf"[{_UP}{_RU}]{{2,}}(?:['’\-][{_UP}{_RU}]+)*"
 _SHOUT = rf"(?:{_UPW}|{_INITIAL})(?: {_INITIAL})*(?: (?:VAN|VON|DE|DER|DEN|DEL|DI|DA|DOS|LA))* {_UPW}"
 _ANY = rf"(?P<v>{FULL}|{_PLAIN}|{_HAN})"
 _NEXT = rf"(?P<v>{_SHOUT}(?!\w)|{_SHORT}|{_PLAIN}|{_HAN})"
+#: Two or three capitalised words, with initials and particles, of which none is in capitals only.
+_TWO = rf"(?P<v>[{_UP}{_RU}](?:[’'][{_UP}])?[^\W\d_A-Z{_RU}]+(?:['’\-][^\W\d_]+)*(?: {_INITIAL})*(?: {_PARTICLE})*(?: [{_UP}{_RU}](?:[’'][{_UP}])?[^\W\d_A-Z{_RU}]+(?:(?:['’\-]|(?<=Mc)|(?<=Mac))[^\W\d_]+)*){{1,2}})"
+#: Verbs of persons, and what stands before a person's name.
+_DEEDS = (
+    "said", "says", "wrote", "writes", "asked", "asks", "told", "replied", "answered", "emailed", "agreed", "lives", "moved to", "was born", "suggested", "explained", "mentioned", "noticed", "complained", "apologised", "apologized", "retired", "promised",
+    "sagte", "sagt", "schrieb", "schreibt", "fragte", "fragt", "antwortete", "wohnt", "meinte", "erklärte", "a dit", "a écrit", "a demandé", "a répondu", "habite", "a expliqué", "dijo", "escribió", "preguntó", "respondió", "vive en", "explicó",
+    "disse", "escreveu", "perguntou", "respondeu", "mora em", "explicou", "сказал", "сказала", "написал", "написала", "спросил", "спросила", "ответил", "ответила", "живёт", "живет",
+)
+_STARTERS = "Then Later Yesterday Today Finally Now Also When Dann Gestern Heute Später Wenn Puis Hier Ensuite Quand Luego Ayer Hoy Cuando Depois Ontem Hoje Quando".split()
+_MEETING = (
+    "met with", "met", "spoke with", "spoke to", "talked to", "talked with", "according to", "on behalf of", "my colleague", "our colleague", "colleague", "employee", "patient", "tenant", "applicant", "married to", "neighbour", "neighbor", "gesprochen mit", "sprach mit",
+    "meine kollegin", "mein kollege", "kollegin", "kollege", "mitarbeiterin", "mitarbeiter", "patientin", "parlé avec", "parlé à", "ma collègue", "mon collègue", "selon", "hablé con", "habló con", "mi colega", "según", "falei com", "falou com", "meu colega", "minha colega", "segundo",
+)
 NAME_CUES = [
     (marks, re.compile(p))
     for marks, p in (
@@ -163,6 +180,9 @@ NAME_CUES = [
         (("[",), rf"\[\d\d?:\d\d(?::\d\d)?\] ?<?{_ANY}>?:"),
         (("notes", "protokoll", "minutes", "présent", "attendees", "teilnehmer"), rf"(?i:meeting notes|protokoll|minutes|présents?|attendees|teilnehmer) ?[(:] ?{_ANY}(?=[,;)])"),
         (("dear", "hi ", "hello", "hallo", "bonjour", "hola", "olá", "liebe", "geehrte", "cher", "chère", "estimad", "уважаем", "здравствуйте"), rf"(?i:dear|hi|hello|hallo|bonjour|hola|olá|liebe[r]?|sehr geehrte[r]?|cher|chère|estimad[oa]|уважаем\w+|здравствуйте,?) (?P<v>{FULL})(?=[,!:\n]|$)"),
+        # what people do, and whom one meets or names with a role: two capitalised words of any spelling
+        (_DEEDS, rf"(?:^|[.!?:;,(\"“] ?|\b(?:and|und|et|y|e|that|dass|que|but|when|as|while|because|{'|'.join(_STARTERS)}) )(?!(?:{'|'.join(_STARTERS)}) ){_TWO} (?:{'|'.join(_DEEDS)})\b"),
+        (_MEETING, rf"(?<!\w)(?i:{'|'.join(_MEETING)}) {_TWO}(?=[,.;:!?)\n]|$| (?:and|at|in|on|from|about|for|to|who|if|when|before|after|und|am|im|bei|über|et|à|au|sur|y|en|sobre|e|em|na|no)\b)"),
     )
 ]
 BARE = re.compile(rf"(?<![\w@/.+\-&;])(?P<v>(?P<g>{_NAME})(?: {_INITIAL})*(?: {_PARTICLE})* {_NAME}|{_TITLE_SURE} (?:{_INITIAL} ?)*(?:{_PARTICLE} )*{_NAME}|{_NAME}, (?P<h>{_NAME})(?: {_INITIAL})?)(?![\w@]|[.+\-]\w)")
@@ -176,6 +196,7 @@ ORGANISATION = re.compile(r"(?i)\b(?:bot|team|gmbh|inc|ltd|llc|group|service|ser
 #: Five digits close to each other, the fewest that an identity number or a phone number has.
 NUMERIC = re.compile(r"\d(?:[^\d\n]{0,6}\d){4}")
 _DIGIT = re.compile(r"\d")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _CAPITALS = re.compile(rf"[{_UP}{_RU}][^\W\d_]+")
 _TITLES = ("Mr", "Ms", "Mx", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Sr", "Doña", "г-")
 LETTERS = re.compile(r"[^\W\d_]")
@@ -187,6 +208,7 @@ _TELLING = frozenset(
     " reported written reviewed approved assigned author authors signed authored acked tested owner maintainer reviewer assignee contact customer patient employee name fullname firstname lastname created updated nutzer nombre nom"
     " team equipe equipo call leave vacation holiday notes protokoll minutes presents present attendees teilnehmer dear hi hello hallo bonjour hola liebe lieber geehrte geehrter cher estimado estimada".split()
 )
+_TELLING |= frozenset(w for cue in (*_DEEDS, *_MEETING) for w in cue.split() if w.isascii())
 _PLACES = frozenset(w for marks in _ADDRESS_MARKS[:7] if marks for w in marks if w.isalpha() and w.isascii()) | frozenset(_WAY_WORDS) | frozenset("terrace crescent avenue av bd c avda o po address adresse anschrift domicilio endereco ship lives wohnhaft bp".split())
 _ENDINGS = ("strasse", "str", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig", "markt", "graben", "hof", "berg", "chaussee", "stieg", "pfad", "direccion")
 _PLAIN_WORD = re.compile(r"[a-z]+")
@@ -262,10 +284,12 @@ def line_mentions(line: str) -> Iterator[Mention]:
                 if free(*m.span()) and not NOT_PHONE.search(line[: m.start()]) and _known_id(m.group()):
                     taken.append(m.span())
                     yield Mention(*m.span(), "id_number")
+        # the digits of an account number are no phone number
+        accounts = [m.span() for m in IBAN.finditer(line) if int("".join(str(int(c, 36)) for c in re.sub(" ", "", m.group()[4:] + m.group()[:4]))) % 97 == 1]
         for pattern in (*PHONES, PHONE_CUE, PHONE_AFTER):
             for m in pattern.finditer(line):
                 a, b = m.span("v") if "v" in pattern.groupindex else m.span()
-                if free(a, b) and 7 <= _digits(m.group()) <= 22 and not NOT_PHONE.search(line[:a]):
+                if free(a, b) and not any(x < b and a < y for x, y in accounts) and 7 <= _digits(m.group()) <= 22 and not NOT_PHONE.search(line[:a]):
                     taken.append((a, b))
                     yield Mention(a, b, "phone")
     ascii_words = _PLAIN_WORD.findall(low) if line.isascii() else None
@@ -355,10 +379,153 @@ def pseudonym(value: str, key: bytes, back: bool = False) -> str:
     return "".join(out)
 
 
+def permuted(n: int, size: int, key: bytes, back: bool = False) -> int:
+    """A keyed permutation of 0..size-1: a Feistel network over a square that holds them, walked until it meets one of them again."""
+    side = math.isqrt(max(size - 1, 0)) + 1
+    width = (side.bit_length() + 7) // 8
+    while True:
+        left, right = divmod(n, side)
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            half = right if r % 2 == 0 else left
+            step = int.from_bytes(hashlib.blake2b(bytes((r, width)) + size.to_bytes(16) + half.to_bytes(width), key=key, digest_size=16).digest()) * (-1 if back else 1)
+            if r % 2 == 0:
+                left = (left + step) % side
+            else:
+                right = (right + step) % side
+        n = left * side + right
+        if n < size:
+            return n
+
+
+def _refilled(value: str, symbols: str) -> str:
+    """The value with its digits and letters replaced in order; all else stays."""
+    new = iter(symbols)
+    return "".join(next(new) if c.isalnum() else c for c in value)
+
+
+def _cpf_checks(base: str) -> str:
+    for k in (10, 11):
+        base += str(sum(int(x) * w for x, w in zip(base, range(k, 1, -1))) * 10 % 11 % 10)
+    return base
+
+
+_FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
+_DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
+_NINO_FIRST, _NINO_SECOND = "ABCEGHJKLMNOPRSTWXYZ", "ABCEGHJKLMNPRSTWXYZ"
+
+
+def _day(y: str, m: str, d: str) -> int | None:
+    """The number of a date from 1900 to 2099, from 0; None for what is no such date."""
+    try:
+        n = datetime.date(int(y), int(m), int(d)).toordinal() - _FIRST_DAY
+    except ValueError:
+        return None
+    return n if 0 <= n < _DAYS else None
+
+
+def _date(n: int) -> datetime.date:
+    return datetime.date.fromordinal(_FIRST_DAY + n)
+
+
+def checked_pseudonym(value: str, key: bytes, back: bool = False) -> str | None:
+    """The pseudonym of a valid identity number of a known form, again a valid one; None for all others."""
+    d = re.sub(r"\W", "", value).upper()
+
+    def moved(n: int, size: int) -> int:
+        return permuted(n, size, key, back)
+
+    if DNI.fullmatch(value) and _known_id(value):
+        n = moved(int(d[:8]), 10**8)
+        return _refilled(value, f"{n:08d}{DNI_LETTERS[n % 23]}")
+    if CPF.fullmatch(value) and _known_id(value):
+        return _refilled(value, _cpf_checks(f"{moved(int(d[:9]), 10**9):09d}"))
+    if RESIDENT.fullmatch(value) and _known_id(value) and (day := _day(d[6:10], d[10:12], d[12:14])) is not None:
+        rest, serial = divmod(moved(((int(d[:6]) - 100_000) * _DAYS + day) * 1000 + int(d[14:17]), 900_000 * _DAYS * 1000), 1000)
+        region, day = divmod(rest, _DAYS)
+        body = f"{region + 100_000}{_date(day):%Y%m%d}{serial:03d}"
+        return _refilled(value, body + "10X98765432"[sum(int(c) * w for c, w in zip(body, RESIDENT_WEIGHTS)) % 11])
+    if SSN.fullmatch(value) and _issued(d):
+        n = moved(int(d), 10**9)
+        while not _issued(f"{n:09d}"):
+            n = moved(n, 10**9)
+        return _refilled(value, f"{n:09d}")
+    if NINO.fullmatch(value):
+        n = (_NINO_FIRST.index(d[0]) * len(_NINO_SECOND) + _NINO_SECOND.index(d[1])) * 4_000_000 + int(d[2:8]) * 4 + "ABCD".index(d[8])
+        head, tail = divmod(moved(n, len(_NINO_FIRST) * len(_NINO_SECOND) * 4_000_000), 4_000_000)
+        a, b = divmod(head, len(_NINO_SECOND))
+        return _refilled(value, f"{_NINO_FIRST[a]}{_NINO_SECOND[b]}{tail // 4:06d}{'ABCD'[tail % 4]}")
+    return None
+
+
+def _issued(ssn: str) -> bool:
+    return ssn[:3] not in ("000", "666") and ssn[0] != "9" and ssn[3:5] != "00" and ssn[5:] != "0000"
+
+
+#: Country codes of one and of two digits; all others have three.
+_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+_EXTENSION = re.compile(r"[^\d+]*[^\W\d_]")
+
+
+def phone_pseudonym(value: str, key: bytes, back: bool = False) -> str:
+    """A phone number with its national digits permuted among those of that length; country code, trunk zero and format stay."""
+    stop = m.start() if (m := _EXTENSION.search(value, 3)) else len(value)
+    body, extension = value[:stop], value[stop:]
+    places = [i for i, c in enumerate(body) if c.isdigit()]
+    digits = "".join(body[i] for i in places)
+    skip = 0
+    if body.lstrip().startswith(("+", "00")):
+        skip = 0 if "+" in body else 2
+        skip += next((n for n in (1, 2) if digits[skip : skip + n] in _CODES), 3)
+    if digits[skip : skip + 1] == "0":
+        skip += 1
+    own = digits[skip:]
+    if not own:
+        return pseudonym(value, key, back)
+    low = 0 if own[0] == "0" else 10 ** (len(own) - 1)
+    new = digits[:skip] + f"{permuted(int(own) - low, 10 ** len(own) - low, key, back) + low:0{len(own)}d}"
+    out = list(body)
+    for i, c in zip(places, new):
+        out[i] = c
+    return "".join(out) + re.sub(r"\d+", lambda m: pseudonym(m[0], key, back), extension)
+
+
+_DATE_FORMS = (
+    (re.compile(r"(\d{4})([-/.])(\d{2})\2(\d{2})"), (1, 3, 4), lambda d, m: f"{d:%Y}{m[2]}{d:%m}{m[2]}{d:%d}"),
+    (re.compile(r"(\d{2})([-/.])(\d{2})\2(\d{4})"), (4, 3, 1), lambda d, m: f"{d:%d}{m[2]}{d:%m}{m[2]}{d:%Y}"),
+    (re.compile(r"(\d{2})([-/.])(\d{2})\2(\d{4})"), (4, 1, 3), lambda d, m: f"{d:%m}{m[2]}{d:%d}{m[2]}{d:%Y}"),
+)
+
+
+def date_pseudonym(value: str, key: bytes, back: bool = False) -> str | None:
+    """Another date in the same form; None for what is no date from 1900 to 2099. Day before month, if that gives a date."""
+    for k, (form, groups, shown) in enumerate(_DATE_FORMS):
+        m = form.fullmatch(value)
+        if m and (n := _day(*(m[g] for g in groups))) is not None:
+            n = permuted(n, _DAYS, key, back)
+            while k == 2 and _date(n).day <= 12:  # it would be read the other way round
+                n = permuted(n, _DAYS, key, back)
+            return shown(_date(n), m)
+    return None
+
+
+#: What stands before a birth date.
+BORN = re.compile(
+    r"(?i)(?<!\w)(?:date of birth|birth ?date|birthday|dob|d\.o\.b\.|born(?: on)?|geburtsdatum|geboren(?: am)?|geb\.|date de naissance|née? le|fecha de nacimiento|nacid[oa] el|data de nascimento|nascid[oa] em|дата рождения|出生日期|生年月日|जन्म ?तिथि)"
+    r"[\s:=\"']{1,4}(?P<v>\d{4}([-/.])\d{2}\2\d{2}|\d{2}([-/.])\d{2}\3\d{4})(?!\d)"
+)
+
+
+def birth_dates(text: str) -> Iterator[Mention]:
+    """Birth dates, which are pseudonymized beside the five kinds."""
+    for m in BORN.finditer(text):
+        yield Mention(*m.span("v"), "date")
+
+
 def placeholder(value: str, kind: str, key: bytes) -> str:
-    """A typed placeholder; equal values, in any case and spacing, get equal ones for all kinds but numbers, whose format stays."""
-    if kind in ("phone", "id_number"):
-        return f"[{kind.upper()} {pseudonym(value, key)}]"
+    """A typed placeholder; equal values, in any case and spacing, get equal ones. Numbers and dates keep their format."""
+    made: dict[str, Callable[[], str | None]] = {"phone": lambda: phone_pseudonym(value, key), "id_number": lambda: checked_pseudonym(value, key), "date": lambda: date_pseudonym(value, key)}
+    if kind in made:
+        return f"[{kind.upper()} {made[kind]() or pseudonym(value, key)}]"
     plain = re.sub(r"\W+", " ", value.casefold()).strip()
     return f"[{kind.upper()} {hashlib.blake2b(plain.encode(), key=key, digest_size=6).hexdigest()}]"
 
@@ -397,13 +564,16 @@ def pseudonymize(df: DataFrame, secret: str, key: str = "doc_id", text: str = "t
         for batch in batches:
             texts, counts = [], []
             for t in batch.column(1).to_pylist():
-                found = sorted(m for _, m in mentions(t)) if t else []
+                found = sorted([*(m for _, m in mentions(t)), *birth_dates(t)]) if t else []
                 out, last = [], 0
-                for m in found:
+                for k, m in enumerate(found):
+                    if m.start < last:  # a date inside a mention
+                        found[k] = None
+                        continue
                     out += [t[last : m.start], placeholder(t[m.start : m.end], m.kind, seed)]
                     last = m.end
                 texts.append("".join([*out, t[last:]]) if found else t)
-                counts.append(len(found))
+                counts.append(len(found) - found.count(None))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["doc_id", "text", "mentions"])
 
     source = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -1,5 +1,6 @@
 """Personal information: forms of each kind, what is none, pseudonyms, and odd inputs."""
 
+import random
 import re
 
 import pytest
@@ -84,3 +85,50 @@ def test_prefilters_pass_every_alternative():
     for label in ("home address", "Adresse", "Anschrift", "Direccion", "domicilio", "endereco", "ship_to"):
         assert "address" in {m.kind for m in P.line_mentions(f"{label}: 12 Kesten Mirova, Harbin")}, label
     assert "name" in {m.kind for m in P.line_mentions("it was Anna-Lena Schmidt again")}
+
+
+def test_names_by_context():
+    for line, name in (
+        ("Margaret Okonkwo said the deploy was fine.", "Margaret Okonkwo"), ("Yesterday I met Siobhan Fitzgerald at the office.", "Siobhan Fitzgerald"), ("We spoke with Rajesh Krishnamurthy about it.", "Rajesh Krishnamurthy"),
+        ("According to Hiroshi Tanaka, it works.", "Hiroshi Tanaka"), ("Then Agnieszka Kowalczyk wrote a patch.", "Agnieszka Kowalczyk"), ("Ich habe mit ihr gesprochen, und Ottilie Brennecke sagte nein.", "Ottilie Brennecke"),
+    ):
+        assert [line[m.start : m.end] for m in P.line_mentions(line) if m.kind == "name"] == [name], line
+    for line in ("The Ocean Gateway said no", "The Release Team wrote it", "we met Service Level goals", "IBAN DE89 3704 0044 0532 0130 00"):
+        assert not list(P.line_mentions(line)), line
+
+
+def test_pseudonyms_stay_valid():
+    rng = random.Random(6)
+    for _ in range(150):
+        n = rng.randrange(10**8)
+        dni = f"{n:08d}{P.DNI_LETTERS[n % 23]}"
+        cpf = P._refilled("000.000.000-00", P._cpf_checks(f"{rng.randrange(10**9):09d}"))
+        body = f"{rng.randrange(100_000, 1_000_000)}{P._date(rng.randrange(P._DAYS)):%Y%m%d}{rng.randrange(1000):03d}"
+        resident = body + "10X98765432"[sum(int(c) * w for c, w in zip(body, P.RESIDENT_WEIGHTS)) % 11]
+        for value in (dni, cpf, resident):
+            made = P.checked_pseudonym(value, b"key")
+            assert P._known_id(made) and made != value and P.checked_pseudonym(made, b"key", back=True) == value
+        made = P.checked_pseudonym("AB 12 34 56 C", bytes([rng.randrange(256)]))
+        assert P.NINO.fullmatch(made)
+        ssn = "219-09-9999"
+        made = P.checked_pseudonym(ssn, bytes([rng.randrange(256)]) * 2)
+        assert P.SSN.fullmatch(made) and P._issued(re.sub("-", "", made))
+    assert len({P.permuted(n, 1000, b"k") for n in range(1000)}) == 1000
+
+
+def test_spellings_of_a_phone_number_stay_linked():
+    spelled = ["+1 415 555 0132", "(415) 555-0132", "001 415 555 0132", "415.555.0132"]
+    assert len({re.sub(r"\D", "", P.phone_pseudonym(v, b"k"))[-10:] for v in spelled}) == 1 and P.phone_pseudonym(spelled[0], b"k").startswith("+1 ")
+    for v in (*spelled, "+49 (0)30 1234567", "030 1234567", "+44 20 7946 0123 ext. 12", "555-0132"):
+        made = P.phone_pseudonym(v, b"k")
+        assert re.sub(r"\d", "0", made) == re.sub(r"\d", "0", v) and P.phone_pseudonym(made, b"k", back=True) == v
+    assert P.phone_pseudonym("+49 (0)30 1234567", b"k")[-10:] == "".join(P.phone_pseudonym("030 1234567", b"k"))[-10:]
+
+
+def test_birth_dates():
+    for v in ("1984-02-29", "29.02.1984", "02/28/1984", "31/12/1999"):
+        made = P.date_pseudonym(v, b"k")
+        assert made != v and P.date_pseudonym(made, b"k", back=True) == v
+    assert P.date_pseudonym("31.02.1984", b"k") is None
+    text = "born on 1984-02-29, deployed on 2024-02-29"
+    assert [text[m.start : m.end] for m in P.birth_dates(text)] == ["1984-02-29"]
