@@ -1,13 +1,14 @@
 """Natural language inside source files (problem 3).
 
-Comments and string literals are cut out by the delimiters of a language's family;
-a line counts as prose if it has enough words and is no code, query, path,
-directive or data. Prose in scripts of one language is told by its letters. Prose
-in Latin letters is told by n-gram profiles: the n-grams of a line are ranked by
-frequency and compared with the ranked profile of each language by the sum of
-rank differences; a line that fits none well enough is rejected. Adjacent comment
-lines are merged where a line alone is undecided. Profiles are made from the short
-texts below and hold the n-grams without accents as well.
+Comments and string literals are cut out by the delimiters of a language's family,
+those of a language without one by the delimiters that most languages use; a line counts
+as prose if it has enough words and is no code, query, path, directive or data. Its
+language is told by n-gram profiles: the n-grams of a line are ranked by
+frequency and compared with the ranked profile of each language in its script by the sum
+of rank differences. A line that fits none well enough is rejected, and so is one that
+fits a language best that isn't wanted. Chinese and Japanese, which have no spaces, are told by
+their letters. Adjacent comment lines are merged where a line alone is undecided.
+Profiles are made from the texts in ``samples`` and hold the n-grams without accents as well.
 
 The work is narrow up to the distinct rows; the file types are joined to these.
 """
@@ -20,57 +21,28 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.folding import unescape
+from quillstone.llm.samples import OTHERS, WANTED
 from quillstone.llm.sourcecode import DIRECTIVE, language_of, looks_like_code, pieces
 
 LEAST_WORDS = 5
 LEAST_WIDE = 8
-PROFILE = 500
+#: N-grams of a profile, and of a line at most.
+PROFILE, OWN = 2000, 400
+#: Characters of an n-gram at most; words of up to so many letters are n-grams as a whole.
+GRAM, WORD = 5, 5
 #: Mean rank difference, as a share of the greatest one, beyond which a line fits no language.
-REJECT = 0.86
-#: Short texts from which the profiles are made.
-SAMPLES = {
-    "en": "This function returns the value that was stored before the worker started, and it will not be called again until the lock has been released. Please make sure that"
-    " the file is not deleted while another process is still reading from it. If there is no owner for the project, we keep the old records because they may be needed later."
-    " It turned out that most of the errors came from requests which were sent twice. You should never change these settings by hand, since the next run would overwrite them."
-    " See the notes about the cache for more details on how this works and why it was done. When the queue is empty, the service waits for a few seconds and then tries to send"
-    " the messages once more. Both of them use the same table, but only one can write to it. The rest of the code does not know anything about this, and that is how it should be."
-    " Does anyone remember what happens after each deployment? Copyright and all rights reserved; use only with permission under the terms of the license, without any warranty.",
-    "fr": "Cette fonction renvoie la valeur qui a été enregistrée avant le démarrage du processus, et elle ne sera pas appelée tant que le verrou n'est pas libéré. Il faut vérifier que"
-    " le fichier n'est pas supprimé pendant qu'un autre service est encore en train de le lire. Si le projet n'a plus de propriétaire, nous gardons les anciennes lignes parce qu'on pourrait en avoir"
-    " besoin plus tard. La plupart des erreurs venaient des requêtes qui ont été envoyées deux fois. Il ne faut jamais modifier ces réglages à la main, car la prochaine exécution les remplace."
-    " Voir les notes sur le cache pour plus de détails. Quand la file est vide, le module attend quelques secondes puis essaie de nouveau. Attention, les deux utilisent la même table, mais un seul"
-    " peut écrire dans celle-ci. On ne sait pas encore pourquoi cela arrive après chaque mise en production, ni comment il faudrait l'éviter. Depuis la dernière version, plus rien ne bloque l'envoi des messages avec cet outil.",
-    "de": "Diese Funktion gibt den Wert zurück, der vor dem Start gespeichert wurde, und sie wird nicht noch einmal aufgerufen, solange die Sperre besteht. Bitte darauf achten, dass"
-    " die Datei nicht gelöscht wird, während ein anderer Dienst noch aus ihr liest. Wenn das Projekt keinen Besitzer mehr hat, behalten wir die alten Zeilen, weil sie später noch gebraucht werden"
-    " könnten. Es hat sich gezeigt, dass die meisten Fehler von Anfragen kamen, die doppelt gesendet wurden. Diese Einstellungen darf niemand von Hand ändern, denn der nächste Lauf überschreibt sie."
-    " Mehr dazu steht in den Hinweisen über den Zwischenspeicher. Ist die Warteschlange leer, so wartet der Dienst ein paar Sekunden und versucht es danach erneut. Achtung, beide nutzen dieselbe"
-    " Tabelle, aber nur einer darf schreiben. Leider ist nicht bekannt, warum das nach jeder Auslieferung und während der Wartung auftritt, ohne dass sich etwas geändert hat.",
-    "es": "Esta función devuelve el valor que se guardó antes de iniciar el proceso, y no se vuelve a llamar mientras dure el bloqueo. Hay que comprobar que el archivo no se borra cuando otro"
-    " servicio todavía lo está leyendo. Si el proyecto ya no tiene dueño, guardamos las filas antiguas porque podrían hacer falta más tarde. Hemos visto que la mayoría de los errores venían de las"
-    " consultas que se enviaron dos veces. No se deben cambiar estos ajustes a mano, ya que la próxima ejecución los sobrescribe. Véanse las notas sobre la caché para más detalles. Cuando la cola"
-    " está vacía, el módulo espera unos segundos y luego lo intenta de nuevo. Ojo, los dos usan la misma tabla, pero solo uno puede escribir en ella. No sabemos por qué ocurre después de cada entrega"
-    " ni cómo se podría evitar. Desde la última versión ya no hace falta avisar a los demás durante la noche, aunque el disco esté casi lleno.",
-    "pt": "Esta função devolve o valor que foi guardado antes de iniciar o processo, e não volta a ser chamada enquanto o bloqueio existir. É preciso verificar que o arquivo não seja apagado quando"
-    " outro serviço ainda está lendo. Se o projeto não tem mais dono, guardamos as linhas antigas porque elas podem ser necessárias mais tarde. Vimos que a maioria dos erros vinha das consultas que"
-    " foram enviadas duas vezes. Ninguém deve mudar essas configurações à mão, pois a próxima execução vai sobrescrever tudo. Veja as notas sobre o cache para mais detalhes. Quando a fila está vazia,"
-    " o módulo espera alguns segundos e depois tenta de novo. Atenção, os dois usam a mesma tabela, mas só um pode escrever nela. Não sabemos por que isso acontece depois de cada entrega nem como"
-    " seria possível evitar. Desde a última versão já não é permitido mexer nos dados durante a madrugada, mesmo com o disco quase cheio.",
-}
-#: Common short words; prose has some of them, lists of names have none.
-FUNCTION_WORDS = {
-    "en": "the a an of to and in is are was were be been it its that this these those for on with as by at from or not no if then than when while until after before because since so but only which who whoever whenever has have had do does did can could will would should may must never always you we they he she i our your their there here all any some each both once more most again also into out up about over under unless whether how why what where please use used only see",
-    "fr": "le la les un une des du de et est sont a ont au aux en dans par pour sur avec sans ne pas plus que qui dont ou mais si ce cette ces il elle ils elles on nous vous se son sa ses leur leurs quand comme tant avant après apres depuis puis très tres rien jamais tout tous il faut l d n qu c s été ete être etre avons",
-    "de": "der die das den dem des ein eine einen einem einer und oder aber ist sind war wird werden wurde nicht kein keine mit ohne von vom zu zum zur im in an am auf aus bei nach vor für fuer über ueber durch dass wenn weil damit als auch noch nur schon sich es er sie wir ihr man hier bitte niemals darf solange während waehrend erst leider sehr jeder",
-    "es": "el la los las un una unos unas de del al y o en es son era fue ha han hemos por para con sin sobre que qué se su sus lo le les no ni si cuando mientras antes después despues desde hasta como más mas pero ya aquí aqui este esta estos estas ese esa muy cada casi durante luego ojo todo todos hace hay está esta viene",
-    "pt": "o a os as um uma uns umas de do da dos das no na nos nas em e ou é são sao era foi tem têm ao aos à às por para com sem sobre que se seu sua seus suas não nao nem quando enquanto antes depois desde até ate como mais mas já ja aqui este esta estes estas esse essa muito cada quase durante pelo pela pode também tambem vem está esta",
-}
-_FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_ALL_FUNCTION = frozenset().union(*_FUNCTION.values())
+REJECT = {"latin": 0.8, "cyrillic": 0.9, "devanagari": 0.9}
+#: Lead over the next language, as such a share, below which the number of common words decides, and neighbouring lines where that is equal.
+LEAD = 0.015
+#: Place in a profile up to which a whole word counts as common; prose has some common words, lists of names have none.
+COMMON = 1200
+SCRIPTS = {"latin": ("en", "fr", "de", "es", "pt", "nl", "it", "sv", "pl", "ca"), "cyrillic": ("ru", "uk", "bg"), "devanagari": ("hi", "mr")}
 _SPLIT = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SQL = re.compile(r"(?i)^\s*(?:select\b.*\bfrom\b|insert\s+into\b|update\s+\w+\s+set\b|delete\s+from\b|create\s+(?:table|index|view|or replace)\b|drop\s+table\b|alter\s+table\b|with\s+\w+\s+as\s*\(|merge\s+into\b|grant\s+\w+|explain\b)")
 _TOKEN = re.compile(r"\S+")
@@ -78,9 +50,8 @@ _NAMED = re.compile(r"^\s*(?:[@\\]\w+(?:\s*\{[^}]*\})?(?:\s+[*&$]?[\w.\[\]]+)?|:
 _MARK = re.compile(r"^\s*(?:/{2,}!?|/\*+!?|\*+/?|#+!?|-{2,}|;+|%+|=begin|=end|<!--|\"\"\"|''')?\s?")
 _KANA = re.compile(r"[぀-ヿ]")
 _HAN = re.compile(r"[㐀-䶿一-鿿]")
-_CYRILLIC = re.compile(r"[Ѐ-ӿ]+")
-_DEVANAGARI = re.compile(r"[ऀ-ॿ]+")
-_LATIN = re.compile(r"[A-Za-z]")
+#: Words in each script.
+_LETTERS = {"latin": _SPLIT, "cyrillic": re.compile(r"[Ѐ-ӿ]+"), "devanagari": re.compile(r"[ऀ-ॣॱ-ॿ]+")}
 
 
 def plain(text: str) -> str:
@@ -90,56 +61,68 @@ def plain(text: str) -> str:
 
 
 def grams(words: list[str]) -> Counter:
+    """The n-grams of words, with a blank at both ends, and the short words as a whole."""
     found: Counter = Counter()
     for w in words:
         w = f" {w} "
         n = len(w)
-        found.update([w[i : i + 2] for i in range(n - 1)])
-        found.update([w[i : i + 3] for i in range(n - 2)])
-        found.update([w[i : i + 4] for i in range(n - 3)])
+        for k in range(1, min(n, GRAM) + 1):
+            found.update([w[i : i + k] for i in range(n - k + 1)])
+        if GRAM < n <= WORD + 2:
+            found[w] += 1
+    found.pop(" ", None)
     return found
 
 
-def ranked(counts: Counter, most: int) -> dict[str, int]:
-    order = sorted(counts.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))
-    return {g: r for r, (g, _) in enumerate(order[:most])}
+def ranked(counts: Counter, most: int) -> list[str]:
+    return sorted(counts, key=lambda g: (-counts[g], -len(g), g))[:most]
+
+
+#: Texts of the wanted languages that are also written without their accents.
+SAMPLES = {lang: WANTED[lang] for lang in SCRIPTS["latin"] if lang in WANTED}
 
 
 @lru_cache(1)
-def profiles() -> dict[str, dict[str, int]]:
+def profiles() -> dict[str, tuple[dict[str, int], np.ndarray, list[set[str]]]]:
+    """For each script: the number of each n-gram of its languages, a row of places in their profiles for each number, and their common words."""
     made = {}
-    for lang, text in SAMPLES.items():
-        counts = Counter()
-        for variant in (text.lower(), plain(text)):
-            counts += grams(_SPLIT.findall(variant.replace("’", "'")))
-        for w in FUNCTION_WORDS[lang].split():
-            counts += grams([w])
-        made[lang] = ranked(counts, PROFILE)
+    for script, langs in SCRIPTS.items():
+        numbers: dict[str, int] = {}
+        places, common = [], []
+        for lang in langs:
+            text = {**WANTED, **OTHERS}[lang]
+            counts: Counter = Counter()
+            for variant in {text.lower(), plain(text)} if script == "latin" else {text.lower()}:
+                counts += grams(_LETTERS[script].findall(variant.replace("’", "'")))
+            order = ranked(counts, PROFILE)
+            places.append({numbers.setdefault(g, len(numbers)): r for r, g in enumerate(order)})
+            common.append({g.strip() for g in order[:COMMON] if g.startswith(" ") and g.endswith(" ")})
+        rows = np.full((len(numbers) + 1, len(langs)), np.inf)
+        for j, of in enumerate(places):
+            for number, r in of.items():
+                rows[number, j] = r
+        made[script] = numbers, rows, common
     return made
 
 
-def classify(text: str) -> tuple[str | None, float]:
-    """The nearest profile of Latin text by rank distance, nothing if none is near; and the lead over the next."""
-    words = [w for w in _SPLIT.findall(text.lower())]
-    mine = ranked(grams(words), 400)
+def classify(words: list[str], script: str = "latin") -> tuple[str | None, int]:
+    """The language whose profile is nearest by rank distance, and its lead over as near ones in common words (1 if there are none); nothing if none is near or the nearest isn't wanted."""
+    numbers, rows, common = profiles()[script]
+    words = [w.lower() for w in words]
+    mine = ranked(grams(words), OWN)
     if not mine:
-        return None, 0.0
-    n, scores = len(mine), []
-    scale = PROFILE / max(n, 1)
-    for lang, profile in profiles().items():
-        get = profile.get
-        total = 0.0
-        for g, r in mine.items():
-            p = get(g)
-            d = abs(r * scale - p) if p is not None else PROFILE
-            total += d if d < PROFILE else PROFILE
-        # common short words weigh as n-grams of their own
-        hits = sum(w in _FUNCTION[lang] for w in words)
-        scores.append((total / (n * PROFILE) - 0.5 * hits / max(len(words), 1), total / (n * PROFILE), lang))
-    scores.sort()
-    best = scores[0]
-    lead = scores[1][0] - best[0]
-    return (best[2] if best[1] <= REJECT else None), lead
+        return None, 0
+    n = len(mine)
+    at = np.fromiter((numbers.get(g, len(numbers)) for g in mine), np.int64, n)
+    far = np.abs(np.arange(n)[:, None] * (PROFILE / n) - rows[at])
+    scores = np.minimum(far, PROFILE).sum(axis=0) / (n * PROFILE)
+    known = [sum(w in c or w.split("'")[0] in c for w in words) for c in common]
+    near = np.nonzero(scores <= scores.min() + LEAD)[0]
+    best = max(near, key=lambda j: (known[j], -scores[j]))
+    lang = SCRIPTS[script][best]
+    if scores[best] > REJECT[script] or lang not in WANTED or script == "latin" and known[best] < max(1, 0.1 * len(words)):
+        return None, 0
+    return lang, min((known[best] - known[j] for j in near if j != best), default=1)
 
 
 def prose_words(line: str) -> list[str]:
@@ -165,28 +148,27 @@ def line_language(line: str) -> str | None:
         kana, han = len(_KANA.findall(s)), len(_HAN.findall(s))
         if kana + han >= LEAST_WIDE:
             return "ja" if kana >= 2 else "zh"
-        if len(_CYRILLIC.findall(s)) >= LEAST_WORDS:
-            return "ru"
-        if len(_DEVANAGARI.findall(s)) >= LEAST_WORDS:
-            return "hi"
+        for script in ("cyrillic", "devanagari"):
+            if len(words := _LETTERS[script].findall(s)) >= LEAST_WORDS:
+                return classify(words, script)[0]
     words = prose_words(s)
     if len(words) < LEAST_WORDS or looks_like_code(s):
         return None
     tokens = len(_TOKEN.findall(s))
-    small = [w.lower() for w in words]
-    hits = sum(w in _ALL_FUNCTION or w.split("'")[0] in _ALL_FUNCTION for w in small)
-    if hits < 1 or len(words) < 0.5 * tokens or hits < 0.1 * len(words):
+    if tokens < LEAST_WORDS or len(words) < 0.5 * tokens or max(map(len, words)) < 4:
         return None
-    lang, lead = classify(" ".join(words))
-    return lang if lang and lead > 0.01 else "?" if lang else None
+    lang, lead = classify(words)
+    return lang if lang and lead > 0 else "?" if lang else None
+
+
+_ENCLOSED = re.compile(r"\A(?:\{-|\(\*|<!--)|(?:-\}|\*\)|-->)\Z")
 
 
 def texts(content: str, lang: str | None) -> Iterator[list[str]]:
     """The comments and literals of a piece of code, each as its lines; adjacent comment lines come together."""
-    if lang is None:
-        return
+    lang = lang or "any"
     start = 0
-    if lang not in ("python", "shell", "ruby", "r", "perl", "sql", "lua"):
+    if lang not in ("any", "python", "shell", "ruby", "r", "perl", "sql", "lua"):
         # a chunk may begin inside a block comment
         end, begin = content.find("*/"), content.find("/*")
         if 0 <= end and (begin < 0 or end < begin):
@@ -212,7 +194,7 @@ def texts(content: str, lang: str | None) -> Iterator[list[str]]:
             if block and (gap is None or gap.strip() or gap.count("\n") > 1):
                 yield block
                 block = []
-            block += piece.split("\n")
+            block += (_ENCLOSED.sub("", piece) if lang == "any" else piece).split("\n")
             last = p.end
             continue
         if block:
@@ -247,7 +229,7 @@ def prose_lines(content: str | None, docstring: str | None, lang: str | None, ca
         for k, (found, line) in enumerate(told):
             if found == "?":  # its neighbours may tell
                 near = [f for f, _ in told[max(0, k - 1) : k + 2] if f and f != "?"]
-                found = near[0] if near else classify(" ".join(prose_words(" ".join(x for f, x in told if f == "?"))))[0]
+                found = near[0] if near else classify(prose_words(" ".join(x for f, x in told if f == "?")))[0]
             if found:
                 yield found, line
 

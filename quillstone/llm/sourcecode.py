@@ -26,6 +26,8 @@ _FAMILIES = {
     "php": (rf"(?P<c>//[^\n]*|\#(?!\[)[^\n]*|{_BLOCK})|(?P<s>\"(?:\\[\s\S]|[^\"\\])*\"?|'(?:\\[\s\S]|[^'\\])*'?)", "php"),
     "hash": (rf"(?P<c>(?<![\w$\{{\"'\\&])\#[^\n]*|^=begin\b[\s\S]*?^=end\b)|(?P<s>\"(?:\\[\s\S]|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?)", "shell ruby r perl"),
     "python": (r"(?P<c>\#[^\n]*)|(?P<s>(?:[rbfuRBFU]{0,2})(?:\"\"\"(?:\\[\s\S]|(?!\"\"\")[^\\])*(?:\"\"\")?|'''(?:\\[\s\S]|(?!''')[^\\])*(?:''')?|" + f"{_DQ}|{_SQ}))", "python"),
+    # the delimiters that most other languages use; line comments only where nothing but blanks stands before them
+    "any": (rf"(?P<c>(?:(?<=\n)|(?<![\s\S]))[ \t]*(?://|\#|--|;|%|')[^\n]*|(?<![:\w])//[^\n]*|(?<=\s)--[ ][^\n]*|{_BLOCK}|<!--[\s\S]*?(?:-->|\Z)|\{{-[\s\S]*?(?:-\}}|\Z)|\(\*[\s\S]*?(?:\*\)|\Z))|(?P<s>\"\"\"[\s\S]*?(?:\"\"\"|\Z)|{_DQ}|(?<!\w){_SQ})", "any"),
     "dash": (rf"(?P<c>--[^\n]*|{_BLOCK})|(?P<s>'(?:''|[^'])*'?|\"(?:\"\"|[^\"\n])*\"?)", "sql lua"),
 }
 PIECES = {lang: re.compile(p, re.M) for p, langs in _FAMILIES.values() for lang in langs.split()}
@@ -40,7 +42,7 @@ class Piece(NamedTuple):
 def language_of(language: str | None, ext: str | None) -> str | None:
     name = (language or "").lower().strip()
     name = ALIASES.get(name, name)
-    return name if name in PIECES else BY_EXTENSION.get((ext or "").lower())
+    return name if name in PIECES and name != "any" else BY_EXTENSION.get((ext or "").lower())
 
 
 def decode(content: bytes) -> str:

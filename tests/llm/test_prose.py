@@ -70,3 +70,17 @@ def test_tables(spark):
 
 def test_fold_keeps_nothing_of_marks():
     assert fold("!?…") == ""
+
+
+def test_other_languages_and_word_salad_are_rejected():
+    for line in (
+        "Deze regel is niet in gebruik omdat de oude code nog bestaat", "Questa riga non viene usata perché il codice vecchio esiste ancora", "Цей рядок не використовується, тому що старий код ще існує", "ही ओळ वापरली जात नाही कारण जुना कोड अजून आहे",
+        "not in is of the on", "alpha beta gamma delta epsilon zeta", "Den gamla koden finns kvar men ingen använder den längre", "Ten wiersz nie jest używany, ponieważ stary kod jeszcze istnieje",
+    ):
+        assert P.line_language(line) is None, line
+
+
+def test_languages_without_a_family_are_read_by_common_delimiters():
+    code = '-- | This module keeps the cache of the running service.\nmain = putStrLn "the file was not found in the store" {- Bitte die alte Datei nicht von Hand löschen -}\n'
+    assert {found for found, _ in P.prose_lines(code, None, None, {})} == {"en", "de"}
+    assert not list(P.prose_lines("main = do one two three four five six\n  x <- the of is in that", None, None, {}))
