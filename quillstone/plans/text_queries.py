@@ -435,3 +435,58 @@ def markdown_pieces(spark, root):
     docs = read_table(spark, root, "documents").where("text is not null")
     made = docs.select("doc_id", F.explode(parsers.markdown(F.col("text"))).alias("p"))
     return made.select("doc_id", "p.kind", "p.name", "p.start_line", "p.end_line", "p.content")
+
+
+def _uncommented(column: str) -> str:
+    cases = []
+    for forms in sorted(set(rules.COMMENTS.values())):
+        out = column
+        for form in forms:
+            out = _re(out, form, "' '")
+        cases.append(f"WHEN lang IN ({', '.join(quoted(k) for k, v in sorted(rules.COMMENTS.items()) if v == forms)}) THEN {out}")
+    return f"CASE {' '.join(cases)} ELSE {column} END"
+
+
+@query(f"WITH {ONCE['c']}, l AS (SELECT chunk_key, content, CASE WHEN coalesce(language, '') = '' THEN NULL ELSE {_LANG} END AS lang FROM c), p AS (SELECT chunk_key, {_uncommented('content')} AS t FROM l) SELECT chunk_key, length(t)::INTEGER AS chars, md5(t) AS digest FROM p")
+def comments_removed(spark, root):
+    """What is left of each chunk without the comments of its language, by length and digest."""
+    t = text.without_comments(F.col("content"), text.language_name(F.col("language")))
+    rows = read_table(spark, root, "chunks").select("chunk_key", "ingested_at", t.alias("t"))
+    return latest(rows.select("chunk_key", "ingested_at", F.length("t").alias("chars"), F.md5("t").alias("digest")), ["chunk_key"], "ingested_at").drop("ingested_at")
+
+
+_TWICE = ", ".join(f"CASE WHEN len(regexp_extract_all({_TEXT}, {quoted(scoring.tag_pattern(t))})) >= 2 THEN {quoted(t)} END" for t in sorted(rules.TAGS))
+
+
+@query(f"WITH {ONCE['n']} SELECT chunk_key, array_to_string(list_filter([{_TWICE}], lambda x: x IS NOT NULL), ',') AS tags FROM n")
+def tags_of_two_hits(spark, root):
+    """The tags of each chunk of which at least two keywords occur."""
+    made = scoring.tags(text.first_text(F.col("cleaned_text"), F.col("content")), least=2)
+    return once(nlp_rows(spark, root).select("chunk_key", F.array_join(made, ",").alias("tags")))
+
+
+_SAFE = "substring(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_]', '_', 'g'), 1, 25)"
+_STEM = "regexp_replace(list_extract(string_split(source_file, '/'), -1), '(.)\\.[^.]*$', '\\1')"
+
+
+@query(f"WITH {ONCE['c']} SELECT chunk_key, concat_ws('__', {_SAFE.format(c=_STEM)}, chunk_type, {_SAFE.format(c='name')}, (row_number() OVER (PARTITION BY file_id ORDER BY chunk_key))::VARCHAR) AS id FROM c WHERE source_file IS NOT NULL")
+def numbered_ids(spark, root):
+    """Ids of chunks by file name, kind, name and place in their file."""
+    from quillstone.operators.ranking import numbered
+
+    c = chunks(spark, root, "file_id", "source_file", "chunk_type", "name").where("source_file is not null")
+    return numbered(c, ["file_id"], "chunk_key", "k").select("chunk_key", text.chunk_id(F.col("source_file"), F.col("chunk_type"), F.col("name"), F.col("k")).alias("id"))
+
+
+_JSON_KINDS = "CASE json_type(v) WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'str' WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'NoneType' ELSE 'int' END"
+
+
+@query(
+    f"WITH {ONCE['c']}, j AS (SELECT chunk_key, content FROM c WHERE language = 'json' AND json_valid(content) AND json_type(content) = 'OBJECT'), k AS (SELECT chunk_key, content, unnest(json_keys(content)) AS name FROM j),"
+    f" v AS (SELECT chunk_key, name, json_extract(content, '$.\"' || name || '\"') AS v FROM k) SELECT DISTINCT chunk_key, name, {_JSON_KINDS} AS value_type FROM v"
+)
+def json_pieces(spark, root):
+    """The pieces of each chunk that is a JSON object, by key, with the kinds of their values; a key that comes twice counts once."""
+    cut = F.when(F.col("language") == "json", parsers.structured(F.when(F.col("language") == "json", F.col("content")), F.lit("json"), F.lit(".json")))
+    found = F.transform(F.filter(cut, lambda p: p["kind"] == "json_key"), lambda p: F.struct(p["name"], p["extra"]["value_type"].alias("value_type")))
+    return made_of_chunks(spark, root, found=found).select("chunk_key", F.explode("found").alias("p")).select("chunk_key", "p.name", "p.value_type")
