@@ -187,6 +187,12 @@ def api_names(spark, root):
     return names.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(20)
 
 
+def _starts(form: str, t: str = "t") -> str:
+    """SQL for the places of all matches of a form in a column: the lengths of what comes before each."""
+    gaps, found = f"regexp_split_to_array({t}, {quoted(form)})", f"regexp_extract_all({t}, {quoted(form)})"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: (list_sum(list_transform(list_slice({gaps}, 1, i), lambda g: length(g))) + coalesce(list_sum(list_transform(list_slice({found}, 1, i - 1), lambda g: length(g))), 0))::INTEGER)"
+
+
 def _rule_sql(k: int, label: str, form: str, groups: int) -> str:
     whole = f"regexp_extract_all(t, {quoted(form)}, 0)"
     if groups == 0:
@@ -228,7 +234,14 @@ def ner_label_topk(spark, root):
     return entities.top_entities(found_entities(spark, root))
 
 
-@query()
+_PLACED = (
+    f"{ONCE['n']}, s AS (SELECT chunk_key, {_TEXT} AS t FROM n), r AS ("
+    + " UNION ALL ".join(_rule_sql(k, *r).replace(" AS pos FROM s", f" AS pos, unnest({_starts(r[1])}) AS a, unnest(regexp_extract_all(t, {quoted(r[1])})) AS whole FROM s") for k, r in enumerate(rules.ENTITY_RULES))
+    + "), q AS (SELECT chunk_key, rule, label, pos, a, a + length(whole) AS b, trim(translate(x, chr(10) || chr(13) || chr(9), '   ')) AS text FROM r)"
+)
+
+
+@query(f"WITH {_PLACED} SELECT chunk_key, text, label, a::INTEGER AS start, b::INTEGER AS \"end\", 1.0::DOUBLE AS score FROM q WHERE length(text) >= 2 QUALIFY row_number() OVER (PARTITION BY chunk_key, label, lower(text) ORDER BY pos) = 1")
 def ner_places(spark, root):
     """The entities of each chunk with their places."""
     t = text.first_text(F.col("cleaned_text"), F.col("content"))
@@ -278,12 +291,6 @@ _STRATEGY = "CASE " + " ".join(f"WHEN chunk_type IN ({', '.join(map(quoted, kind
 _WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]"
 
 
-def _starts(form: str) -> str:
-    """SQL for the places of all matches of a form in t: the lengths of what comes before each."""
-    gaps, found = f"regexp_split_to_array(t, {quoted(form)})", f"regexp_extract_all(t, {quoted(form)})"
-    return f"list_transform(range(1, len({found}) + 1), lambda i: (list_sum(list_transform(list_slice({gaps}, 1, i), lambda g: length(g))) + coalesce(list_sum(list_transform(list_slice({found}, 1, i - 1), lambda g: length(g))), 0))::INTEGER)"
-
-
 _DEFINITION = "(?m)" + rules.FUNCTION_FORM.replace(r"\w", r"[\p{L}\p{N}_]") + "|" + rules.CLASS_FORM.replace(r"\w", r"[\p{L}\p{N}_]")
 _SEGMENTED = (
     f"{ONCE['n']}, s AS (SELECT chunk_key, chunk_id, coalesce({_TEXT}, '') AS t, {_STRATEGY} AS kind FROM n),"
@@ -306,7 +313,18 @@ def segment_spans(spark, root):
     return narrow.dropDuplicates(["chunk_key", "k"]).select("chunk_key", "s.segment_id", "s.start_char", "s.end_char", "s.text")
 
 
-@query()
+_MARKED = "regexp_replace(text, '([.!?])(\\s+)([A-Z])', '\\1' || chr(1) || '\\3', 'g')"
+_WORDS = "list_distinct(regexp_extract_all(lower(s), '[\\p{L}\\p{N}_]+'))"
+_SENTENCES = (
+    f"p AS (SELECT doc_id, text, string_split({_MARKED}, chr(1)) AS x FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, text, x, list_transform(x, lambda s: {_WORDS}) AS v FROM p),"
+    " k AS (SELECT doc_id, text, x, list_transform(range(1, len(x)), lambda i: CASE WHEN len(v[i]) > 0 AND len(v[i + 1]) > 0 THEN len(list_intersect(v[i], v[i + 1])) / sqrt(len(v[i])::DOUBLE * len(v[i + 1])) ELSE 0.0::DOUBLE END) AS alike FROM w)"
+)
+
+
+@query(
+    f"WITH {_SENTENCES}, e AS (SELECT doc_id, CASE WHEN len(x) < 3 THEN [0, length(text)] ELSE list_concat([0], list_transform(list_filter(range(1, len(x)), lambda i: alike[i] < 0.1), lambda i: list_sum(list_transform(list_slice(x, 1, i), lambda y: length(y) + 1))::BIGINT), [length(text)]) END AS edges FROM k)"
+    " SELECT doc_id, i::INTEGER AS k, edges[i]::INTEGER AS start_char, edges[i + 1]::INTEGER AS end_char FROM (SELECT *, unnest(range(1, len(edges))) AS i FROM e)"
+)
 def similarity_segments(spark, root):
     """Spans of sentences of each document, cut where neighbours have few words in common."""
     docs = read_table(spark, root, "documents").where("text is not null")
@@ -314,14 +332,7 @@ def similarity_segments(spark, root):
     return made.select("doc_id", (F.col("k") + 1).alias("k"), "s.start_char", "s.end_char")
 
 
-_MARKED = "regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g')"
-
-
-@query(
-    f"WITH p AS (SELECT doc_id, string_split({_MARKED}, chr(1)) AS x FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, list_transform(x, lambda s: list_distinct(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+'))) AS x FROM p),"
-    " q AS (SELECT doc_id, unnest(range(1, len(x))) AS k, x FROM w WHERE len(x) > 1), r AS (SELECT doc_id, k, x[k] AS a, x[k + 1] AS b FROM q)"
-    " SELECT doc_id, k::INTEGER AS k, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / sqrt(len(a)::DOUBLE * len(b)) ELSE 0.0::DOUBLE END, 5) AS similarity FROM r"
-)
+@query(f"WITH {_SENTENCES} SELECT doc_id, i::INTEGER AS k, round(alike[i], 5) AS similarity FROM (SELECT *, unnest(range(1, len(x))) AS i FROM k WHERE len(x) > 1)")
 def sentence_similarity(spark, root):
     """How much each sentence of a document and the next have in common."""
     docs = read_table(spark, root, "documents").where("text is not null")
