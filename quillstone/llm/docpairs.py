@@ -1,8 +1,12 @@
 """Functions paired with their documentation (problem 2).
 
 Python files are parsed into syntax trees, whose function nodes give names, exact
-ranges and docstrings. For other languages, comments and strings are blanked and
-declarations are read from what is left; braces give the range. The documentation
+ranges and docstrings. In languages with braces, comments and strings are blanked,
+the rest is cut into tokens and their brackets make a tree, in which the productions
+of each language tell declarations with their names, modifiers and bodies
+(``declarations``). The declarations of languages without braces (shell, SQL, Ruby, Lua, R,
+Perl, style sheets), and of files whose brackets don't match or that Python can't parse, are
+read by patterns. The documentation
 is the docstring or the whole-line comment that ends directly above the
 declaration, decorators aside. It is judged by what is left of it without tags,
 rulers, directives, placeholders and commented-out code, and without the words of
@@ -24,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.declarations import LANGUAGES, declarations, line_finder
 from quillstone.llm.sourcecode import BY_EXTENSION, DIRECTIVE, FILLER, PIECES, decode, language_of, looks_like_code, masked, pieces
 
 
@@ -202,6 +207,17 @@ def functions(text: str, lang: str, ranges: bool = False) -> Iterator[Function]:
     if lang not in _COMPILED:
         return
     mask = masked(text, pieces(text, lang))
+    declared = declarations(mask, lang) if lang in LANGUAGES else None
+    if declared is not None:
+        number = line_finder(text)
+        seen = set()
+        for d in declared:
+            line, first = number(d.at), number(d.head)
+            if line not in seen:
+                seen.add(line)
+                doc = _above(lines, first, lang) or (_above(lines, line, lang) if first != line else "")
+                yield Function(d.name, line, first, number(d.end), doc)
+        return
     seen = set()
     for pattern in _COMPILED[lang]:
         for m in pattern.finditer(mask):

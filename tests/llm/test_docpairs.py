@@ -63,3 +63,39 @@ def test_tables(spark):
 def test_ranges_of_other_languages():
     text = "// Adds one to the number given.\nfunction add(a) {\n  if (a) { return a + 1; }\n}\nlet b = '}';\n"
     assert [(f.first, f.last) for f in D.functions(text, "javascript", True)] == [(2, 4)]
+
+
+def _declared(text, lang):
+    return [(f.name, f.line, f.first, f.last) for f in D.functions(text, lang, True)]
+
+
+@pytest.mark.parametrize(
+    "lang,text,want",
+    [
+        (
+            "typescript",
+            "@Injectable()\nexport class A<T> {\n  constructor(private readonly a: B) { super(); }\n  @Get('/x')\n  async read<K>(a: { b: number }, c = f(1)): Promise<Map<K, T>> {\n    if (a) { go(a); }\n    list.map((x) => x + 1);\n  }\n  handler = async (e: E) => {\n    for (;;) { run(e); }\n  };\n  get size(): number { return 1; }\n}\nexport const join = <T>(a: T): T =>\n  a;\nlet twice = x => x * 2;\nconst gen: F = function* () {\n};\nfoo(function () { bar(); });\n",
+            [("constructor", 3, 3, 3), ("read", 5, 4, 8), ("handler", 9, 9, 11), ("size", 12, 12, 12), ("join", 14, 14, 15), ("twice", 16, 16, 16), ("gen", 17, 17, 18)],
+        ),
+        (
+            "java",
+            "package a.b;\nclass A extends B {\n  private final Map<String, List<Integer>> m = new HashMap<>();\n  public A(int a) {\n    super(a);\n  }\n  @Test(timeout = 5)\n  static <T extends Comparable<T>> T[] best(List<? extends T> a, int... b) throws X, Y {\n    return make(new Runnable() {\n      public void run() { go(1); }\n    });\n  }\n  abstract void none();\n}\n",
+            [("A", 4, 4, 6), ("best", 8, 7, 12), ("run", 10, 10, 10), ("none", 13, 13, 13)],
+        ),
+        ("go", "func (s *Store[K]) Load(a func(int) error) (map[string]int, error) {\n\tgo func() { run() }()\n\treturn f(a), nil\n}\nfunc Map[T any](a []T) {\n}\n", [("Load", 1, 1, 4), ("Map", 5, 5, 6)]),
+        ("rust", "impl A {\n    #[inline]\n    pub(crate) const unsafe fn go<'a, T: B>(&self, a: T) -> Vec<T> where T: C {\n        if a { f(a) }\n    }\n}\n", [("go", 3, 3, 5)]),
+        ("c", "#define X(a) (a)\nstatic const char *\nname_of(struct list *a, int (*f)(int))\n{\n\tif (a) { return f(1); }\n}\nint proto(void);\n", [("name_of", 3, 2, 6), ("proto", 7, 7, 7)]),
+        ("php", "<?php\nclass A {\n  public static function &make(array $a = [1, 2]): ?self {\n    return new self($a);\n  }\n}\n$twice = fn($x) => $x * 2;\n", [("make", 3, 3, 5), ("twice", 7, 7, 7)]),
+        ("kotlin", "private suspend fun <T> List<T>.drawAll(a: Int): Int {\n    return a.let { it + 1 }\n}\nfun one() = 1\n", [("drawAll", 1, 1, 3), ("one", 4, 4, 4)]),
+    ],
+)
+def test_declarations_by_their_trees(lang, text, want):
+    assert _declared(text, lang) == want
+
+
+def test_brackets_that_do_not_match_leave_it_to_patterns():
+    from quillstone.llm.declarations import declarations
+
+    text = "// Adds one to the number given.\nfunction add(a) {\n  return (a + 1;\n}\n"
+    assert declarations(text, "javascript") is None and [f.line for f in D.functions(text, "javascript")] == [2]
+    assert declarations("", "java") == [] and declarations("(" * 50_000 + ")" * 50_000, "java") == []
