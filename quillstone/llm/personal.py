@@ -167,6 +167,16 @@ _MEETING = (
     "met with", "met", "spoke with", "spoke to", "talked to", "talked with", "according to", "on behalf of", "my colleague", "our colleague", "colleague", "employee", "patient", "tenant", "applicant", "married to", "neighbour", "neighbor", "gesprochen mit", "sprach mit",
     "meine kollegin", "mein kollege", "kollegin", "kollege", "mitarbeiterin", "mitarbeiter", "patientin", "parlé avec", "parlé à", "ma collègue", "mon collègue", "selon", "hablé con", "habló con", "mi colega", "según", "falei com", "falou com", "meu colega", "minha colega", "segundo",
 )
+_LINKING = set("with to of on en em mit con com avec à a was".split())
+
+
+def _telling(cues: tuple[str, ...]) -> frozenset[str]:
+    """The longest word of each cue, linking words aside; a line without any of them holds none of the cues."""
+    return frozenset(max((w for w in cue.split() if w not in _LINKING), key=len) for cue in cues)
+
+
+_DEED_WORDS, _MEETING_WORDS = _telling(_DEEDS), _telling(_MEETING)
+#: Each with what a line must hold: a part of the text in lower case, or one of a set of words.
 NAME_CUES = [
     (marks, re.compile(p))
     for marks, p in (
@@ -181,8 +191,8 @@ NAME_CUES = [
         (("notes", "protokoll", "minutes", "présent", "attendees", "teilnehmer"), rf"(?i:meeting notes|protokoll|minutes|présents?|attendees|teilnehmer) ?[(:] ?{_ANY}(?=[,;)])"),
         (("dear", "hi ", "hello", "hallo", "bonjour", "hola", "olá", "liebe", "geehrte", "cher", "chère", "estimad", "уважаем", "здравствуйте"), rf"(?i:dear|hi|hello|hallo|bonjour|hola|olá|liebe[r]?|sehr geehrte[r]?|cher|chère|estimad[oa]|уважаем\w+|здравствуйте,?) (?P<v>{FULL})(?=[,!:\n]|$)"),
         # what people do, and whom one meets or names with a role: two capitalised words of any spelling
-        (_DEEDS, rf"(?:^|[.!?:;,(\"“] ?|\b(?:and|und|et|y|e|that|dass|que|but|when|as|while|because|{'|'.join(_STARTERS)}) )(?!(?:{'|'.join(_STARTERS)}) ){_TWO} (?:{'|'.join(_DEEDS)})\b"),
-        (_MEETING, rf"(?<!\w)(?i:{'|'.join(_MEETING)}) {_TWO}(?=[,.;:!?)\n]|$| (?:and|at|in|on|from|about|for|to|who|if|when|before|after|und|am|im|bei|über|et|à|au|sur|y|en|sobre|e|em|na|no)\b)"),
+        (_DEED_WORDS, rf"(?:^|[.!?:;,(\"“] ?|\b(?:and|und|et|y|e|that|dass|que|but|when|as|while|because|{'|'.join(_STARTERS)}) )(?!(?:{'|'.join(_STARTERS)}) ){_TWO} (?:{'|'.join(_DEEDS)})\b"),
+        (_MEETING_WORDS, rf"(?<!\w)(?i:{'|'.join(_MEETING)}) {_TWO}(?=[,.;:!?)\n]|$| (?:and|at|in|on|from|about|for|to|who|if|when|before|after|und|am|im|bei|über|et|à|au|sur|y|en|sobre|e|em|na|no)\b)"),
     )
 ]
 BARE = re.compile(rf"(?<![\w@/.+\-&;])(?P<v>(?P<g>{_NAME})(?: {_INITIAL})*(?: {_PARTICLE})* {_NAME}|{_TITLE_SURE} (?:{_INITIAL} ?)*(?:{_PARTICLE} )*{_NAME}|{_NAME}, (?P<h>{_NAME})(?: {_INITIAL})?)(?![\w@]|[.+\-]\w)")
@@ -208,10 +218,11 @@ _TELLING = frozenset(
     " reported written reviewed approved assigned author authors signed authored acked tested owner maintainer reviewer assignee contact customer patient employee name fullname firstname lastname created updated nutzer nombre nom"
     " team equipe equipo call leave vacation holiday notes protokoll minutes presents present attendees teilnehmer dear hi hello hallo bonjour hola liebe lieber geehrte geehrter cher estimado estimada".split()
 )
-_TELLING |= frozenset(w for cue in (*_DEEDS, *_MEETING) for w in cue.split() if w.isascii())
+_TELLING |= frozenset(w for w in _DEED_WORDS | _MEETING_WORDS if w.isascii())
 _PLACES = frozenset(w for marks in _ADDRESS_MARKS[:7] if marks for w in marks if w.isalpha() and w.isascii()) | frozenset(_WAY_WORDS) | frozenset("terrace crescent avenue av bd c avda o po address adresse anschrift domicilio endereco ship lives wohnhaft bp".split())
 _ENDINGS = ("strasse", "str", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig", "markt", "graben", "hof", "berg", "chaussee", "stieg", "pfad", "direccion")
 _PLAIN_WORD = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def _named(v: str) -> bool:
@@ -303,8 +314,10 @@ def line_mentions(line: str) -> Iterator[Mention]:
                     taken.append(m.span())
                     yield Mention(*m.span(), "address")
     context = ascii_words is None or "[" in line or not _TELLING.isdisjoint(ascii_words)
+    all_words = ascii_words if ascii_words is not None else _WORDS.findall(low)
     for marks, pattern in NAME_CUES if context else ():
-        for m in pattern.finditer(line) if any(x in low for x in marks) else ():
+        held = not marks.isdisjoint(all_words) if isinstance(marks, frozenset) else any(x in low for x in marks)
+        for m in pattern.finditer(line) if held else ():
             if _named(m["v"]) and free(*m.span("v")):
                 taken.append(m.span("v"))
                 yield Mention(*m.span("v"), "name")
