@@ -196,6 +196,9 @@ NAME_CUES = [
     )
 ]
 BARE = re.compile(rf"(?<![\w@/.+\-&;])(?P<v>(?P<g>{_NAME})(?: {_INITIAL})*(?: {_PARTICLE})* {_NAME}|{_TITLE_SURE} (?:{_INITIAL} ?)*(?:{_PARTICLE} )*{_NAME}|{_NAME}, (?P<h>{_NAME})(?: {_INITIAL})?)(?![\w@]|[.+\-]\w)")
+#: The cue of named fields, and the mark that follows a field's name.
+_FIELD = next(p for marks, p in NAME_CUES if "author" in marks)
+_FIELD_MARK = re.compile(r"[:=|{]|@[aA][uU][tT][hH][oO][rR]")
 #: Words that begin no name.
 NOT_NAMES = {
     "the", "a", "an", "this", "that", "these", "those", "release", "team", "bot", "platform", "support", "on", "if", "it", "we", "you", "they", "he", "she", "every", "each", "no", "all", "any", "some", "our", "your", "their", "its",
@@ -316,6 +319,8 @@ def line_mentions(line: str) -> Iterator[Mention]:
     context = ascii_words is None or "[" in line or not _TELLING.isdisjoint(ascii_words)
     all_words = ascii_words if ascii_words is not None else _WORDS.findall(low)
     for marks, pattern in NAME_CUES if context else ():
+        if pattern is _FIELD and not _FIELD_MARK.search(line):
+            continue
         held = not marks.isdisjoint(all_words) if isinstance(marks, frozenset) else any(x in low for x in marks)
         for m in pattern.finditer(line) if held else ():
             if _named(m["v"]) and free(*m.span("v")):
